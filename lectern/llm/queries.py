@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import minhash
+from lectern.llm import fmindex, minhash, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +17,18 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(suffixes.remove_repeated_bytes(_table(spark, sf_dir, "documents"), length=100))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fmindex.report(fmindex.remove_repeated_words(_table(spark, sf_dir, "documents"), length=13))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
+    "op4_substring_dedup": op4_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {}
