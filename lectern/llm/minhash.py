@@ -3,13 +3,17 @@
 1. One Arrow pass per document: distinct word shingles, ``bands * rows`` minima, a hash per
    band, and the low ``BITS`` bits of every minimum packed into bit planes.
 2. Documents with equal shingle sets collapse into one class (its smallest doc_id stands for it).
-3. Classes that share a band bucket are candidates.  Each class is first compared with one hub
-   (the least class of its buckets); components of confirmed links are found; only buckets that
-   still hold several components are then paired across components.  A group of n copies thus
-   costs n comparisons, and no link that could join two components is skipped.
+3. Classes that share a band bucket are candidates.  Each class is first compared with one hub,
+   the class among its buckets that shares most buckets with others (the centre of a group of
+   copies), and components of confirmed links are found.  A group of n copies thus costs n
+   comparisons.
 4. Before texts move, a candidate must pass the b-bit estimate: with m of K packed values equal,
    J = (m/K - 2^-b) / (1 - 2^-b), held against the threshold less ``SLACK``.
 5. Surviving pairs are confirmed on the whole sets.
+6. Classes whose buckets still hold several components are compared across components where
+   their prefixes meet: of a set of n shingles, ordered from the rarest, any set similar enough
+   shares one of the first n - ceil(t n) + 1.  So no link that could join two components is
+   skipped, and classes with too many shingles of their own pair with nothing.
 
 With 32 bands of 4 rows a pair at similarity 0.8 shares no bucket with probability 5e-8, and a
 pair at 0.85 with 5e-11.
@@ -22,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import textkit as tk
@@ -144,6 +148,43 @@ def _confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return both.select("u", "v", "v_text", "u_text").mapInArrow(_confirm_mapper(k, percent), "u long, v long")
 
 
+def _token_mapper(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = tk.column_bytes(batch.column(2))
+            for first, last in tk.text_chunks(offsets, 4 << 20):
+                base = offsets[first : last + 1]
+                sets = _shingle_sets(tk.lower_ascii(raw[base[0] : base[-1]]), base - base[0], k)
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), tk.int64(np.concatenate(sets)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first), lists], names=["node", "component", "tokens"])
+
+    return run
+
+
+def _prefix_pairs(nodes: DataFrame, texts: DataFrame, reps: DataFrame, k: int, percent: int, least: float) -> DataFrame:
+    """Pairs (u, v) of nodes in different components whose rarest shingles meet."""
+    planes = [f"s{i}" for i in range(_PLANES)]
+    whole = nodes.join(texts.withColumnRenamed("id", "node"), "node").select("node", "component", "text")
+    sets = materialize(whole.mapInArrow(_token_mapper(k), "node long, component long, tokens array<long>"), "open-sets")
+    tokens = sets.select("node", "component", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    common = tokens.join(common, "token")
+    by_node = Window.partitionBy("node", "component", "n")
+    own = F.col("n") - F.count(F.lit(1)).over(by_node)
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9) + 1
+    ranked = common.select("*", own.alias("own"), prefix.alias("prefix"), F.row_number().over(by_node.orderBy("held", "token")).alias("rank"))
+    rows = materialize(ranked.where("rank + own <= prefix").select("token", "node", "component", "n", (F.col("n") - F.col("own") - F.col("rank") + 1).alias("left")), "prefixes")
+    mixed = rows.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
+    rows = rows.join(mixed, "token", "left_semi").join(reps.select("node", *planes), "node")
+    a = rows.select(F.col("token").alias("t"), F.col("node").alias("u"), F.col("component").alias("cu"), F.col("n").alias("nu"), F.col("left").alias("mu"), *(F.col(p).alias(f"a{i}") for i, p in enumerate(planes)))
+    b = rows.select("token", F.col("node").alias("v"), F.col("component").alias("cv"), F.col("n").alias("nv"), F.col("left").alias("mv"), *(F.col(p).alias(f"b{i}") for i, p in enumerate(planes)))
+    # Similar sets share at least t / (1 + t) of their sizes' sum, and at their first common shingle
+    # no more than what either still has from there on.
+    reach = F.expr(f"{percent} * (nu + nv) <= {100 + percent} * least(mu, mv)")
+    met = a.join(b, (a.t == b.token) & (a.u > b.v) & (a.cu != b.cv) & reach & (estimate("a", "b") >= least))
+    return met.select("u", "v").distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's (doc_id, n_shingles, component_id, kept).
 
@@ -165,28 +206,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     reps = materialize(reps.select(F.col("id").alias("node"), "bands", *planes), "representatives")
 
     banded = reps.select("node", F.explode("bands").alias("bucket"))
-    buckets = banded.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last")
-    shared = materialize(banded.join(buckets.select("bucket", "hub"), "bucket"), "buckets")
+    sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = materialize(banded.join(sizes, "bucket"), "buckets")
+    central = shared.groupBy("node").agg(F.sum("size").alias("weight"))
+    placed = shared.select("bucket", "node").join(central, "node")
+    hubs = placed.groupBy("bucket").agg(F.min(F.struct((-F.col("weight")).alias("w"), "node")).alias("hub"))
+    best = placed.select("bucket", "node").join(hubs, "bucket").groupBy(F.col("node").alias("u")).agg(F.min("hub").alias("hub"))
+    stars = best.select("u", F.col("hub.node").alias("v")).where("u <> v")
 
     bits_u = reps.select(F.col("node").alias("u"), *(F.col(p).alias(f"a{i}") for i, p in enumerate(planes)))
     bits_v = reps.select(F.col("node").alias("v"), *(F.col(p).alias(f"b{i}") for i, p in enumerate(planes)))
     least = percent / 100 - SLACK
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-
-    stars = shared.where("node <> hub").groupBy(F.col("node").alias("u")).agg(F.min("hub").alias("v"))
     stars = stars.join(bits_u, "u").join(bits_v, "v").where(estimate("a", "b") >= least).select("u", "v")
     stars = materialize(_confirm(stars, texts, shingle, percent).distinct(), "stars")
     first = connected_components(stars)
 
-    placed = reps.join(first, "node", "left").select("node", "bands", F.coalesce("component", "node").alias("component"), *planes)
-    placed = placed.join(shared.select("node").distinct(), "node", "left_semi")
-    members = placed.select("node", "component", *planes, F.explode("bands").alias("bucket"))
-    mixed = members.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    open_rows = materialize(members.join(mixed, "bucket"), "open-buckets")
-    a = open_rows.select("bucket", F.col("node").alias("u"), F.col("component").alias("cu"), *(F.col(p).alias(f"a{i}") for i, p in enumerate(planes)))
-    b = open_rows.select("bucket", F.col("node").alias("v"), F.col("component").alias("cv"), *(F.col(p).alias(f"b{i}") for i, p in enumerate(planes)))
-    crossing = a.join(b, (a.bucket == b.bucket) & (a.u > b.v) & (a.cu != b.cv) & (estimate("a", "b") >= least)).select("u", "v", "cu", "cv").distinct()
-    links = materialize(_confirm(crossing.select("u", "v"), texts, shingle, percent).distinct(), "links")
+    spread = shared.select("bucket", "node").join(first, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    mixed = spread.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
+    open_nodes = spread.join(mixed, "bucket", "left_semi").select("node", "component").distinct()
+    crossing = _prefix_pairs(open_nodes, texts, reps, shingle, percent, least)
+    links = materialize(_confirm(crossing, texts, shingle, percent).distinct(), "links")
     comp = first.select(F.col("node").alias("n"), "component")
     joined = links.join(comp.withColumnRenamed("n", "u").withColumnRenamed("component", "cu"), "u", "left").join(comp.withColumnRenamed("n", "v").withColumnRenamed("component", "cv"), "v", "left")
     second = connected_components(joined.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")))
