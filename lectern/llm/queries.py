@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lectern.llm import fmindex, minhash, suffixes
+from lectern.llm import ann, fmindex, minhash, mixing, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +26,21 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fmindex.report(fmindex.remove_repeated_words(_table(spark, sf_dir, "documents"), length=13))
 
 
+def op5_multiprobe_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, rows.where("vec_id % 100 = 0"), k=10)
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).withColumn("target", F.round("target", 4))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_multiprobe_ann": op5_multiprobe_ann,
+    "op7_source_mixing": op7_source_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_source_mixing": mixing.ORACLE}
