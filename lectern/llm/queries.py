@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import ann, fmindex, langid, minhash, mixing, suffixes
+from lectern.llm import ann, fmindex, langid, minhash, mixing, suffixes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,11 @@ def op5_multiprobe_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(rows, rows.where("vec_id % 100 = 0"), k=10)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, folder = warc.write_archives(_table(spark, sf_dir, "pages"))
+    return warc.read_records(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).withColumn("target", F.round("target", 4))
 
@@ -47,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_multiprobe_ann": op5_multiprobe_ann,
+    "op6_warc": op6_warc,
     "op7_source_mixing": op7_source_mixing,
 }
 
