@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import ann, fmindex, langid, minhash, mixing, suffixes, warc
+from lectern.llm import ann, chat, fmindex, langid, minhash, mixing, suffixes, tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,29 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).withColumn("target", F.round("target", 4))
 
 
+#: Where the public vocabularies are, on the driver.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loads all documents, deletes the toxic, refiles those of low quality, replays a batch."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    columns = ("doc_id", "source", "lang", "text")
+    ledger = tokens.Ledger(spark, (tokens.Tokenizer(tokens.WORDS), tokens.byte_bpe(f"{TOKENIZERS}/byte_bpe_50k.tiktoken", "byte_bpe_50k")))
+    load = docs.select(*columns, F.lit("upsert").alias("op"))
+    purge = docs.join(labels.where("toxic = 1").select("doc_id"), "doc_id", "left_semi").select(*columns, F.lit("delete").alias("op"))
+    refile = docs.join(labels.where("quality = 0 AND toxic = 0").select("doc_id"), "doc_id", "left_semi").withColumn("source", F.lit("low-quality")).select(*columns, F.lit("upsert").alias("op"))
+    ledger.commit("load", load)
+    ledger.commit("purge", purge)
+    ledger.commit("load", load)
+    ledger.commit("refile", refile)
+    return ledger.totals()
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.maximal_conversations(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_language_id": op2_language_id,
@@ -54,6 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_multiprobe_ann": op5_multiprobe_ann,
     "op6_warc": op6_warc,
     "op7_source_mixing": op7_source_mixing,
+    "op8_token_counts": op8_token_counts,
+    "op10_chat_formatting": op10_chat_formatting,
 }
 
-ORACLES: dict[str, str] = {"op7_source_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op7_source_mixing": mixing.ORACLE, "op10_chat_formatting": chat.ORACLE}
