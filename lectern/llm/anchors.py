@@ -49,10 +49,14 @@ class Unit:
     flush: int = 24 << 20
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, tag, text) with text as bytes; null text counts as empty, null ids come last."""
+def keyed(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc, tag, text) with text as bytes; null text counts as empty, null ids come last.
+
+    ``carry`` names columns to take along in a struct ``carried``.
+    """
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.crc32(text).alias("tag"), text.alias("text"))
+    more = [F.struct(*carry).alias("carried")] if carry else []
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.crc32(text).alias("tag"), text.alias("text"), *more)
 
 
 def records(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, unit: Unit) -> tuple[np.ndarray, ...]:

@@ -53,7 +53,7 @@ def _shingle_sets(buf: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarr
     out = []
     for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True):
         if b - a >= k:
-            out.append(np.unique(runs[a : b - k + 1]))
+            out.append(tk.distinct(runs[a : b - k + 1]))
         elif b > a:
             out.append(spans.hash(np.array([a]), np.array([b])))
         else:

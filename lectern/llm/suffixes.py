@@ -157,15 +157,27 @@ def _remover(length: int):
                 ends.append(edge[1::2].tolist())
                 kept.append(np.frombuffer(text, dtype=np.uint8)[~gone].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(t.as_py()) for t in batch.column(2)], pa.int64()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(kept, pa.binary())],
-                names=["doc", "tag", "n_bytes", "starts", "ends", "kept"],
+                [
+                    batch.column(0),
+                    batch.column(1),
+                    pa.array([len(t.as_py()) for t in batch.column(2)], pa.int64()),
+                    pa.array(starts, pa.list_(pa.int32())),
+                    pa.array(ends, pa.list_(pa.int32())),
+                    pa.array(kept, pa.binary()),
+                    pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()),
+                    *batch.columns[4:],
+                ],
+                names=["doc", "tag", "n_bytes", "starts", "ends", "kept", "kept_text", *batch.schema.names[4:]],
             )
 
     return run
 
 
-def remove_repeated_bytes(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, tag, n_bytes, starts, ends, kept): per row the removed byte runs and the bytes left.
+def remove_repeated_bytes(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc, tag, n_bytes, starts, ends, kept, kept_text): per row the removed byte runs and what is left.
+
+    kept_text leaves out the bytes of letters that were cut apart; ``carry`` names columns to
+    return in a struct ``carried``.
 
     A byte goes if it lies in a string of ``length`` bytes that also starts earlier: in a smaller
     doc_id, or earlier in the same document.  All strings are judged on the input.  Null text
@@ -176,8 +188,12 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 100, id_col: str = "doc
     """
     unit = Unit(words=False, length=length, k=max(1, length // 4), within=True)
     found = repeats(docs, unit, _solver(length), id_col, text_col)
-    joined = keyed(docs, id_col, text_col).join(found, ["doc", "tag"], "left")
-    return joined.select("doc", "tag", "text", "spans").mapInArrow(_remover(length), "doc long, tag long, n_bytes long, starts array<int>, ends array<int>, kept binary")
+    joined = keyed(docs, id_col, text_col, carry).join(found, ["doc", "tag"], "left")
+    more = ["carried"] if carry else []
+    schema = "doc long, tag long, n_bytes long, starts array<int>, ends array<int>, kept binary, kept_text string"
+    if carry:
+        schema += ", carried " + joined.schema["carried"].dataType.simpleString()
+    return joined.select("doc", "tag", "text", "spans", *more).mapInArrow(_remover(length), schema)
 
 
 def report(removed: DataFrame) -> DataFrame:

@@ -83,6 +83,12 @@ def column_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; sorting beats hashing for 64-bit values."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])[: len(x)]]
+
+
 def lower_ascii(buf: np.ndarray) -> np.ndarray:
     out = buf.copy()
     out[(buf >= 65) & (buf <= 90)] += 32
