@@ -51,17 +51,20 @@ TOKENIZERS = "/opt/tokenizers"
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Loads all documents, deletes the toxic, refiles those of low quality, replays a batch."""
+    """Loads all documents, revises those with odd white space, deletes the toxic, refiles the poor, replays a batch."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    columns = ("doc_id", "source", "lang", "text")
     ledger = tokens.Ledger(spark, (tokens.Tokenizer(tokens.WORDS), tokens.byte_bpe(f"{TOKENIZERS}/byte_bpe_50k.tiktoken", "byte_bpe_50k")))
-    load = docs.select(*columns, F.lit("upsert").alias("op"))
-    purge = docs.join(labels.where("toxic = 1").select("doc_id"), "doc_id", "left_semi").select(*columns, F.lit("delete").alias("op"))
-    refile = docs.join(labels.where("quality = 0 AND toxic = 0").select("doc_id"), "doc_id", "left_semi").withColumn("source", F.lit("low-quality")).select(*columns, F.lit("upsert").alias("op"))
+    load = docs.select("doc_id", "source", "lang", "text", F.lit("upsert").alias("op"))
+    tidy = F.regexp_replace(F.trim("text"), "  +", " ")
+    revised = docs.where(tidy != F.col("text")).select("doc_id", "source", "lang", tidy.alias("text"), F.lit("upsert").alias("op"))
+    nothing = F.lit(None).cast("string")
+    toxic = labels.where("toxic = 1").select("doc_id", nothing.alias("source"), nothing.alias("lang"), nothing.alias("text"), F.lit("delete").alias("op"))
+    poor = labels.where("quality = 0").select("doc_id", F.lit("low-quality").alias("source"), nothing.alias("lang"), nothing.alias("text"), F.lit("move").alias("op"))
     ledger.commit("load", load)
-    ledger.commit("purge", purge)
+    ledger.commit("revise", revised)
     ledger.commit("load", load)
-    ledger.commit("refile", refile)
+    ledger.commit("purge", toxic)
+    ledger.commit("refile", poor)
     return ledger.totals()
 
 

@@ -10,8 +10,10 @@ written last; committing an id again changes nothing, and what a failed attempt
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,7 +25,7 @@ from lectern.llm.scratch import new_path
 #: Fixed value: the pre-token pattern published with the byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORDS = "words-1"
-_COUNTED = "doc_id long, source string, lang string, n_chars long, version string, tokens long"
+_COUNTED = "doc_id long, source string, lang string, n_chars long, version string, tokens long, digest binary"
 
 
 @dataclass(frozen=True)
@@ -65,15 +67,16 @@ def _count_mapper(tokenizers: tuple[Tokenizer, ...]):
             for version, count in counters:
                 tokens = [count(data[a:b]) for a, b in spans]
                 chars = [len(data[a:b].decode("utf-8", "replace")) for a, b in spans]
+                digests = [hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in spans]
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:3], pa.array(chars, pa.int64()), pa.array([version] * len(tokens), pa.string()), pa.array(tokens, pa.int64())], names=["doc_id", "source", "lang", "n_chars", "version", "tokens"]
+                    [*batch.columns[:3], pa.array(chars, pa.int64()), pa.array([version] * len(tokens), pa.string()), pa.array(tokens, pa.int64()), pa.array(digests, pa.binary())], names=["doc_id", "source", "lang", "n_chars", "version", "tokens", "digest"]
                 )
 
     return run
 
 
 def count_tokens(docs: DataFrame, tokenizers: tuple[Tokenizer, ...]) -> DataFrame:
-    """(doc_id, source, lang, n_chars, version, tokens): a row per document and tokenizer."""
+    """(doc_id, source, lang, n_chars, version, tokens, digest of the text): a row per document and tokenizer."""
     return docs.select(F.col("doc_id").cast("long"), "source", "lang", F.col("text").cast("binary").alias("text")).mapInArrow(_count_mapper(tokenizers), _COUNTED)
 
 
@@ -100,23 +103,36 @@ class Ledger:
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
-        """Applies (doc_id, source, lang, text, op) with op ``upsert`` or ``delete``; False if it was applied before.
-
-        Of several changes to one doc_id the last in the order (delete first, then by text,
-        source, lang; nulls first) holds.  A document without text counts 0 tokens.  Deleting an
-        unknown document does nothing.  A null doc_id is a document of its own name.
+        """Applies (doc_id, source, lang, text, op); False if the batch was applied before.
+
+        ``upsert`` counts the text and replaces what the document had; ``move`` refiles its
+        counts under the given source and lang (a null one stays as it was); ``delete`` takes
+        them away.  Of several changes to one doc_id an upsert goes before a move before a
+        delete; of several upserts one wins by its text's digest, then source, then lang.
+        Null text counts 0 tokens.  Moving or deleting an unknown document does nothing.  A null
+        doc_id is a document of its own.  Texts are counted where they are read; only counts are
+        shuffled.
         """
         if not batch_id or "/" in batch_id or batch_id.startswith((".", "_")):
             raise ValueError(f"batch id {batch_id!r} can't name a folder")
         if batch_id in self.committed():
             return False
-        last = Window.partitionBy("doc_id").orderBy((F.col("op") != "delete").desc(), F.col("text").desc_nulls_last(), F.col("source").desc_nulls_last(), F.col("lang").desc_nulls_last())
-        changes = changes.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", "text", "op").withColumn("nth", F.row_number().over(last)).where("nth = 1")
-        added = count_tokens(changes.where("op <> 'delete'"), self.tokenizers).select("doc_id", "source", "lang", "version", F.lit(1).cast("long").alias("docs"), "n_chars", "tokens")
-        held = self._read("entries", self._ENTRY).groupBy("doc_id", "source", "lang", "version").agg(*(F.sum(c).alias(c) for c in ("docs", "n_chars", "tokens"))).where("docs <> 0")
-        touched = changes.select(F.col("doc_id").alias("id"))
-        removed = held.join(touched, held.doc_id.eqNullSafe(touched.id), "left_semi").select("doc_id", "source", "lang", "version", *((-F.col(c)).alias(c) for c in ("docs", "n_chars", "tokens")))
-        added.unionByName(removed).write.mode("overwrite").parquet(f"{self.path}/entries/{batch_id}")
+        columns = ["doc_id", "source", "lang", "version"]
+        sums = ["docs", "n_chars", "tokens"]
+        winner = Window.partitionBy("doc_id", "version").orderBy(F.col("digest").desc(), F.col("source").desc_nulls_last(), F.col("lang").desc_nulls_last())
+        counted = count_tokens(changes.where("op = 'upsert'"), self.tokenizers).withColumn("nth", F.row_number().over(winner)).where("nth = 1")
+        parts = [counted.select(*columns, F.lit(1).cast("long").alias("docs"), "n_chars", "tokens")]
+        if self.committed():
+            upserts = changes.where("op = 'upsert'").select(F.col("doc_id").cast("long").alias("id")).distinct()
+            first = Window.partitionBy("id").orderBy((F.col("op") == "move").desc(), F.col("to_source").desc_nulls_last(), F.col("to_lang").desc_nulls_last())
+            others = changes.where("op IN ('move', 'delete')").select(F.col("doc_id").cast("long").alias("id"), "op", F.col("source").alias("to_source"), F.col("lang").alias("to_lang"))
+            others = others.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
+            others = others.join(upserts.withColumnRenamed("id", "up"), F.col("id").eqNullSafe(F.col("up")), "left_anti")
+            touched = others.unionByName(upserts.select("id", F.lit("upsert").alias("op"), F.lit(None).cast("string").alias("to_source"), F.lit(None).cast("string").alias("to_lang")))
+            held = self.balances().join(touched, F.col("doc_id").eqNullSafe(F.col("id")))
+            parts.append(held.select(*columns, *((-F.col(c)).alias(c) for c in sums)))
+            parts.append(held.where("op = 'move'").select("doc_id", F.coalesce("to_source", "source").alias("source"), F.coalesce("to_lang", "lang").alias("lang"), "version", *sums))
+        reduce(DataFrame.unionByName, parts).write.mode("overwrite").parquet(f"{self.path}/entries/{batch_id}")
         entries = self.spark.read.schema(self._ENTRY).parquet(f"{self.path}/entries/{batch_id}")
         self._sum(entries).write.mode("overwrite").parquet(f"{self.path}/rollup/{batch_id}")
         marker, store = self._hadoop(f"{self.path}/committed/{batch_id}")
