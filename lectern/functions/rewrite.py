@@ -30,12 +30,12 @@ def _interleave(gaps: Column, seps: Column) -> Column:
 
 def between(text: Column, pattern: str, edit: Callable[[Column], Column]) -> Column:
     """``edit`` applied to every stretch between matches of ``pattern``."""
-    return _interleave(F.transform(F.split(text, pattern, -1), edit), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    return let(text, lambda t: _interleave(F.transform(F.split(t, pattern, -1), edit), F.regexp_extract_all(t, F.lit(pattern), F.lit(0))))
 
 
 def at_matches(text: Column, pattern: str, edit: Callable[[Column], Column]) -> Column:
     """Every match of ``pattern`` replaced by ``edit`` of it."""
-    return _interleave(F.split(text, pattern, -1), F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), edit))
+    return let(text, lambda t: _interleave(F.split(t, pattern, -1), F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), edit)))
 
 
 def unprotected(text: Column, edit: Callable[[Column], Column]) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
-from lectern.functions.rewrite import at_matches, between, find_all
+from lectern.functions.rewrite import at_matches, between, find_all, let
 from lectern.operators import lines as ln
 
 _GAP = r"[\s   ~˜]*"
@@ -63,15 +63,19 @@ def mentions(rows: DataFrame, targets: DataFrame) -> DataFrame:
     kind is range, plural or single; status is ``range`` (kept as it is), ``linked``,
     ``ambiguous_target`` or ``missing_target``.
     """
-    eligible = rows.where(_eligible(F.col("line"), F.col("region")))
-    bare = F.array_join(F.split("line", INLINE, -1), "\0")
-    lone = F.regexp_replace(F.regexp_replace(bare, RANGE, "\0"), PLURAL, "\0")
+    # Most lines name no figure; a plain search for the words spares them the rest.
+    eligible = rows.where(F.col("line").rlike(r"(?i)\bfig|图")).where(_eligible(F.col("line"), F.col("region")))
     pick = lambda found, kind: F.transform(found, lambda d: F.struct(F.lit(kind).alias("kind"), d.alias("display")))
-    items = F.concat(
-        pick(find_all(bare, RANGE), "range"),
-        pick(F.flatten(F.transform(find_all(F.regexp_replace(bare, RANGE, "\0"), PLURAL), lambda p: find_all(p, r"[A-Za-z]?\d+"))), "plural"),
-        pick(find_all(lone, SINGLE), "single"),
-    )
+
+    def found(bare: Column) -> Column:
+        rest = F.regexp_replace(bare, RANGE, "\0")
+        return F.concat(
+            pick(find_all(bare, RANGE), "range"),
+            pick(F.flatten(F.transform(find_all(rest, PLURAL), lambda p: find_all(p, r"[A-Za-z]?\d+"))), "plural"),
+            pick(find_all(F.regexp_replace(rest, PLURAL, "\0"), SINGLE), "single"),
+        )
+
+    items = let(F.array_join(F.split("line", INLINE, -1), "\0"), found)
     flat = eligible.select("doc_id", "line_no", F.inline(items))
     number = tx.canonical_figure_id(F.regexp_extract("display", r"([A-Za-z]?\d+)", 1))
     named = flat.withColumn("figure_id", F.when(F.col("kind") != "range", number))
@@ -96,7 +100,8 @@ def link_figures(notes: DataFrame) -> DataFrame:
     edit = lambda g: between(g, f"{RANGE}|{PLURAL}", lambda s: at_matches(s, SINGLE, single))
     lists = lambda g: between(g, RANGE, lambda s: at_matches(s, PLURAL, plural))
     done = lambda x: between(between(x, INLINE, lists), INLINE, edit)
-    out = ln.with_regions(F.split("text", "\n", -1), lambda x, c: F.when(_eligible(x, c), done(x)).otherwise(x))
+    named = r"(?i)\bfig|图"
+    out = ln.with_regions(F.split("text", "\n", -1), lambda x, c: F.when(x.rlike(named) & _eligible(x, c), done(x)).otherwise(x))
     return joined.select("doc_id", ln.join_lines(out).alias("text"))
 
 

@@ -53,23 +53,35 @@ def validate_frontmatter(notes: DataFrame) -> DataFrame:
 
 
 def validate_references(notes: DataFrame) -> DataFrame:
-    text = F.col("text")
-    section = tx.reference_section(text)
-    body = F.concat(tx.before_references(text), tx.after_references(text))
-    plain = F.array_join(gaps(body), " ")
-    numbers = tx.reference_numbers(section)
-    cited = F.array_distinct(F.transform(find_all(body, r"\[\[#\^ref-(\d{1,9})\|", 1), lambda n: n.cast("int")))
-    dangling = F.size(F.array_except(cited, numbers))
+
+    def measure(p: Column) -> Column:
+        body = F.concat(p["before"], p["after"])
+        numbers = tx.reference_numbers(p["section"])
+        cited = F.transform(find_all(body, r"\[\[#\^ref-(\d{1,9})\|", 1), lambda n: n.cast("int"))
+        counted = lambda plain: F.struct(
+            count(plain, citations.NAMED).alias("named"),
+            F.size(F.array_except(cited, numbers)).alias("dangling"),
+            F.size(numbers).alias("entries"),
+            F.size(F.array_distinct(numbers)).alias("distinct"),
+            count(p["section"], r"(?m)\^ref-\d+[ \t]*$").alias("blocks"),
+            count(plain, citations.NUMBER_LIST).alias("raw"),
+            count(plain, citations.AUTHOR_YEAR).alias("years"),
+            count(body, r"\]\]\s*,\s*\[\[#\^ref-").alias("commas"),
+        )
+        return let(F.array_join(gaps(body), " "), counted)
+
+    rows = notes.select("doc_id", let(tx.split_references(F.col("text")), measure).alias("m"))
+    m = lambda c: F.col(f"m.{c}")
     return _findings(
-        notes,
+        rows,
         [
-            ("error", "named_keys_left", count(plain, citations.NAMED) > 0, count(plain, citations.NAMED)),
-            ("error", "dangling_links", dangling > 0, dangling),
-            ("error", "block_ids_missing", F.size(numbers) != count(section, r"(?m)\^ref-\d+[ \t]*$"), F.size(numbers)),
-            ("error", "raw_numbers_left", count(plain, citations.NUMBER_LIST) > 0, count(plain, citations.NUMBER_LIST)),
-            ("warning", "author_years_left", count(plain, citations.AUTHOR_YEAR) > 0, count(plain, citations.AUTHOR_YEAR)),
-            ("warning", "baseline_commas", count(body, r"\]\]\s*,\s*\[\[#\^ref-") > 0, count(body, r"\]\]\s*,\s*\[\[#\^ref-")),
-            ("warning", "duplicate_numbers", F.size(numbers) != F.size(F.array_distinct(numbers)), F.size(numbers)),
+            ("error", "named_keys_left", m("named") > 0, m("named")),
+            ("error", "dangling_links", m("dangling") > 0, m("dangling")),
+            ("error", "block_ids_missing", m("entries") != m("blocks"), m("entries")),
+            ("error", "raw_numbers_left", m("raw") > 0, m("raw")),
+            ("warning", "author_years_left", m("years") > 0, m("years")),
+            ("warning", "baseline_commas", m("commas") > 0, m("commas")),
+            ("warning", "duplicate_numbers", m("entries") != m("distinct"), m("entries")),
         ],
     )
 

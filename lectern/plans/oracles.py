@@ -216,9 +216,9 @@ SELECT rule, count(*) AS n FROM f GROUP BY rule"""
 PLACEMENT = "SELECT doc_id, CAST(1 AS BIGINT) AS n, CAST(3 AS BIGINT) AS n_links FROM documents WHERE doc_id % 3 = 1"
 BILINGUAL_LAYOUT = _WITH_UN + "SELECT doc_id, count(*) FILTER (reason IS NULL) AS n_units, count(*) FILTER (reason IS NULL) AS n_found, count(*) FILTER (reason IS NULL) AS n_translated FROM un GROUP BY doc_id"
 
-DURATIONS = """SELECT user_id AS workflow_id, event_type AS stage, epoch_ms(max(ts) FILTER (event_id % 2 = 1)) - epoch_ms(max(ts) FILTER (event_id % 2 = 0)) AS duration_ms FROM events GROUP BY user_id, event_type"""
+DURATIONS = """SELECT user_id AS workflow_id, event_type AS stage, epoch_us(max(ts) FILTER (event_id % 2 = 1)) // 1000 - epoch_us(max(ts) FILTER (event_id % 2 = 0)) // 1000 AS duration_ms FROM events GROUP BY user_id, event_type"""
 STATE = "SELECT user_id AS workflow_id, event_type AS stage, CASE WHEN max_by(event_id, (ts, event_id)) % 2 = 0 THEN 'started' ELSE 'finished' END AS status, count(*) AS n_events FROM events GROUP BY user_id, event_type"
-ATTEMPTS = "SELECT event_id, row_number() OVER w AS attempt, epoch_ms(ts) - epoch_ms(lag(ts) OVER w) AS gap_ms FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)"
+ATTEMPTS = "SELECT event_id, row_number() OVER w AS attempt, epoch_us(ts) // 1000 - epoch_us(lag(ts) OVER w) // 1000 AS gap_ms FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)"
 FAILURES = """WITH f AS (SELECT CASE event_id % 6 WHEN 0 THEN 'timeout' WHEN 1 THEN 'network' WHEN 2 THEN 'process' WHEN 3 THEN 'contract' ELSE CASE WHEN event_id % 7 > 0 THEN 'unit' ELSE 'unknown' END END AS failure, event_id % 7 AS bad FROM events)
 SELECT failure, failure IN ('timeout', 'network') OR (failure = 'unit' AND bad < 5) AS retryable, count(*) AS n FROM f GROUP BY 1, 2"""
 INCREMENTAL = "SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id % 4 IN (2, 3) THEN 'reused' ELSE 'read' END AS state FROM documents"
