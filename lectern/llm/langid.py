@@ -96,9 +96,12 @@ def train(labelled: DataFrame, per_language: int = 300, clusters: int = 4, id_co
     Null languages, null texts and texts without a letter teach nothing.
     """
     usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike("\\p{L}"))
-    # The rank's limit is applied before the shuffle, so a language costs no more than its sample.
-    order = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
-    ids = usable.select(lang_col, id_col).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
+    # The rank's limit is applied before each shuffle: first in 64 parts of a language, then in all of it.
+    draw = F.xxhash64(id_col)
+    part = Window.partitionBy(lang_col, F.pmod(draw, F.lit(64))).orderBy(draw, id_col)
+    whole = Window.partitionBy(lang_col).orderBy(draw, id_col)
+    ids = usable.select(lang_col, id_col).withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= per_language)
+    ids = ids.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= per_language)
     chosen = usable.join(ids.select(id_col, lang_col).distinct(), [id_col, lang_col], "left_semi")
     rows = chosen.select(F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("text")).mapInArrow(_count_mapper, "lang string, counts binary").collect()
     rows.sort(key=lambda r: (r["lang"], r["counts"]))
