@@ -54,7 +54,12 @@ def region_codes(lines: Column) -> Column:
             F.when(plain & code.isin(REFERENCES, PROSE), depth).otherwise(level).alias("level"),
         )
 
-    return F.aggregate(lines, start, step, lambda s: s["codes"])
+    def quick(state: Column, line: Column) -> Column:
+        # A line that can't open or close anything leaves the state as it is.
+        same = F.struct(F.concat(state["codes"], F.when(state["level"] > 0, REFERENCES).otherwise(PROSE)).alias("codes"), state["mode"].alias("mode"), state["fence"].alias("fence"), state["level"].alias("level"))
+        return F.when((state["mode"] == "") & ~line.rlike(r"^\s*(?:>[ \t]*)*[`~$<%#-]"), same).otherwise(step(state, line))
+
+    return F.aggregate(lines, start, quick, lambda s: s["codes"])
 
 
 def with_regions(rows: Column, edit) -> Column:
