@@ -158,3 +158,15 @@ def test_stream_matches_batch(spark, tmp_path):
     q = streaming.transform_stream(streaming.note_stream(spark, f"{tmp_path}/in"), fix, f"{tmp_path}/out", f"{tmp_path}/ck")
     q.awaitTermination(60)
     assert sorted(r.text for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["![a](b.png)", "x"]
+
+
+def test_reference_titles(spark):
+    cases = {
+        "Ann De Sample, Bo Jay, and Cy Brown. Bridges for testing titles. (arXiv:2106.01), Dec 2021. URL https://e.org/x.": ("Bridges for testing titles", "deterministic"),
+        'Sample Robotics, Ann Day, Bo "Jim" Jay, and Cy Green. Model T1: A Model for Tests, March 2025a. URL https://e.org/y.': ("Model T1: A Model for Tests", "deterministic"),
+        "Ann B. C. Day. torchthing, 2018. URL https://e.org/torchthing.": (None, "none"),
+        "Robot arms of note. https://e.org": (None, "worker"),
+        "Day, A. (2020) A study of tests. Journal of Tests, 3.": ("A study of tests", "deterministic"),
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "e string").select("e", units.infer_title(F.col("e")).alias("t")).collect()
+    assert {r.e: (r.t.title, r.t.mode) for r in rows} == cases
