@@ -52,10 +52,11 @@ class Unit:
 def keyed(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc, tag, text) with text as bytes; null text counts as empty, null ids come last.
 
-    ``carry`` names columns to take along in a struct ``carried``.
+    ``carry`` names columns to take along in a struct ``carried``, with whether there was a text in
+    ``had_text``.
     """
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    more = [F.struct(*carry).alias("carried")] if carry else []
+    more = [F.struct(*carry).alias("carried"), F.col(text_col).isNotNull().alias("had_text")] if carry else []
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.crc32(text).alias("tag"), text.alias("text"), *more)
 
 

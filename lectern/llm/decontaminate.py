@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -155,20 +156,26 @@ class Index:
             yield t, shard.items[b * BLOCK + int(j)], float(score[p, j]), a, min(a + 2 * self.half, int(firsts[t + 1]))
 
 
+def _verified(index: Index, column: pa.Array) -> dict[tuple[int, int], tuple[float, float, float]]:
+    """(row, item_id) to the best (score, question overlap, answer overlap) of the leaks in a text column."""
+    raw, offsets = tk.column_bytes(column)
+    best: dict[tuple[int, int], tuple[float, float, float]] = {}
+    for first, last in tk.text_chunks(offsets, 1 << 20):
+        part = offsets[first : last + 1]
+        words, firsts = terms_of(raw[part[0] : part[-1]], part - part[0])
+        for text, item, score, a, b in index.hits(words, firsts):
+            question, answer = item.overlaps(words[a:b])
+            if question >= OVERLAP and answer >= OVERLAP:
+                key = (first + text, item.item_id)
+                best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (score, question, answer))
+    return best
+
+
 def _mapper(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            raw, offsets = tk.column_bytes(batch.column(1))
-            best: dict[tuple[int, int], tuple[float, float, float]] = {}
-            for first, last in tk.text_chunks(offsets, 1 << 20):
-                part = offsets[first : last + 1]
-                words, firsts = terms_of(raw[part[0] : part[-1]], part - part[0])
-                for text, item, score, a, b in index.hits(words, firsts):
-                    question, answer = item.overlaps(words[a:b])
-                    if question >= OVERLAP and answer >= OVERLAP:
-                        key = (first + text, item.item_id)
-                        best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (score, question, answer))
+            best = _verified(index, batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([ids[t] for t, _ in best], pa.int64()),
@@ -181,6 +188,27 @@ def _mapper(index: Index):
     return run
 
 
+def _drop_mapper(index: Index, text: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = np.ones(batch.num_rows, dtype=bool)
+            clean[[row for row, _ in _verified(index, batch.column(text))]] = False
+            yield batch.filter(pa.array(clean))
+
+    return run
+
+
+def _indexes(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator[Index]:
+    """The benchmark's index in parts, each built from items of about ``PART`` bytes."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("text IS NOT NULL")
+    parts = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"] // PART + 1
+    for part in range(parts):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
+        parsed = [i for i in (parse_item(r["item_id"], r["text"]) for r in sorted(rows, key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"]))) if i]
+        if parsed:
+            yield Index(parsed)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): verified leaks, best passage of each.
 
@@ -189,15 +217,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     match; rows repeated in ``docs`` give repeated results, and rows with a null doc_id are
     reported with null.  Other columns are ignored; empty tables give an empty result.
     """
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("text IS NOT NULL")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    parts = size // PART + 1
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    found = None
-    for part in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
-        parsed = [i for i in (parse_item(r["item_id"], r["text"]) for r in sorted(rows, key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"]))) if i]
-        if parsed:
-            hits = texts.mapInArrow(_mapper(Index(parsed)), _HIT)
-            found = hits if found is None else found.unionByName(hits)
-    return docs.sparkSession.createDataFrame([], _HIT) if found is None else found
+    found = [texts.mapInArrow(_mapper(index), _HIT) for index in _indexes(benchmark, item_col, item_text_col)]
+    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], _HIT)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows without a verified leak, all columns as they are; judged row by row, without a shuffle."""
+    for index in _indexes(benchmark, item_col, item_text_col):
+        docs = docs.mapInArrow(_drop_mapper(index, docs.columns.index(text_col)), docs.schema)
+    return docs

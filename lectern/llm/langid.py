@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,29 +121,53 @@ def train(labelled: DataFrame, per_language: int = 300, clusters: int = 4, id_co
     return model
 
 
+def _answers(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, scores and rejections of a column of texts."""
+    raw, offsets = tk.column_bytes(column)
+    names: list[str] = []
+    scores, rejections = [np.zeros(0)], [np.zeros(0, dtype=bool)]
+    for first, last in tk.text_chunks(offsets, 1 << 20):
+        base = offsets[first : last + 1]
+        buf, base = raw[base[0] : base[-1]], base - base[0]
+        texts = [_LETTER.search(buf[a:b].tobytes().decode("utf-8", "replace")) is not None for a, b in zip(base[:-1], base[1:], strict=True)]
+        known = np.array(texts) & bool(model.languages)
+        lang, score, rejected = np.zeros(len(known), int), np.zeros(len(known)), np.ones(len(known), bool)
+        for a in range(0, len(known), 256):
+            part = slice(a, a + 256)
+            if model.languages:
+                off = base[a : min(a + 256, len(known)) + 1]
+                lang[part], score[part], rejected[part] = model.predict(_counts(buf[off[0] : off[-1]], off - off[0]))
+        names += [model.languages[i] if ok else UNKNOWN for i, ok in zip(lang.tolist(), known.tolist(), strict=True)]
+        scores.append(np.where(known, score, 0.0))
+        rejections.append(rejected | ~known)
+    return names, np.concatenate(scores), np.concatenate(rejections)
+
+
 def _predict_mapper(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = tk.column_bytes(batch.column(1))
-            for first, last in tk.text_chunks(offsets, 1 << 20):
-                base = offsets[first : last + 1]
-                buf = raw[base[0] : base[-1]]
-                texts = [_LETTER.search(buf[a:b].tobytes().decode("utf-8", "replace")) is not None for a, b in zip(base[:-1] - base[0], base[1:] - base[0], strict=True)]
-                known = np.array(texts) & bool(model.languages)
-                lang, score, rejected = np.zeros(len(known), int), np.zeros(len(known)), np.ones(len(known), bool)
-                for a in range(0, len(known), 256):
-                    part = slice(a, a + 256)
-                    if model.languages:
-                        off = base[a : min(a + 256, len(known)) + 1] - base[0]
-                        lang[part], score[part], rejected[part] = model.predict(_counts(buf[off[0] : off[-1]], off - off[0]))
-                names = [model.languages[i] if ok else UNKNOWN for i, ok in zip(lang.tolist(), known.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, last - first), pa.array(names, pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(rejected | ~known)], names=["doc_id", "lang_pred", "score", "rejected"]
-                )
+            names, scores, rejected = _answers(model, batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"])
+
+    return run
+
+
+def _keep_mapper(model: Model, text: int, lang: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, _, rejected = _answers(model, batch.column(text))
+            columns = list(batch.columns)
+            columns[lang] = pc.coalesce(columns[lang], pa.array(names, pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(~rejected))
 
     return run
 
 
+def keep_known(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows whose language isn't rejected, all columns as they are but a null language filled in."""
+    return docs.mapInArrow(_keep_mapper(model, docs.columns.index(text_col), docs.columns.index(lang_col)), docs.schema)
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, rejected) for every row, from its text alone.
 

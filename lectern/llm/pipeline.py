@@ -11,35 +11,32 @@ from lectern.llm.scratch import materialize
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter or far from every language; fills null languages in."""
-    model = langid.train(docs.where(~langid.held_out()))
-    said = langid.predict(docs, model).select("doc_id", "lang_pred", "rejected").dropDuplicates(["doc_id"])
-    kept = docs.join(said.where("NOT rejected"), "doc_id")
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+    return langid.keep_known(docs, langid.train(docs.where(~langid.held_out())))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each near-duplicate group (five-word shingles, 0.8)."""
-    kept = minhash.near_duplicates(docs, shingle=5, percent=80).where("kept").select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi").select(docs.columns)
+    """Keeps the smallest doc_id of each near-duplicate group (five-word shingles, 0.8); repeats of a kept row stay."""
+    kept = minhash.near_duplicates(docs, shingle=5, percent=80).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    return docs.join(kept, docs.doc_id.eqNullSafe(kept["_kept_id"]), "left_semi")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts out every 100-byte string that starts earlier; what is left of a cut letter goes too.
 
-    Every document stays, if only with empty text; n_chars follows the text.
+    Every document stays, if only with empty text (null stays null); n_chars follows the text.
     """
-    others = tuple(c for c in docs.columns if c != "text")
-    removed = suffixes.remove_repeated_bytes(docs.withColumn("_null", F.col("text").isNull()), length=100, carry=(*others, "_null"))
-    rows = removed.select("carried.*", (F.size("starts") > 0).alias("_cut"), "kept_text")
-    text = F.when(~F.col("_null"), F.col("kept_text"))
-    size = F.when(F.col("_cut"), F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
-    return rows.withColumn("text", text).withColumn("n_chars", size).select(docs.columns)
+    removed = suffixes.remove_repeated_bytes(docs, length=100, carry=tuple(c for c in docs.columns if c != "text"))
+    rows = removed.select("carried", (F.size("starts") > 0).alias("cut"), "had_text", "kept_text")
+    new = {
+        "text": F.when(F.col("had_text"), F.col("kept_text")),
+        "n_chars": F.when(F.col("cut"), F.length("kept_text").cast("long")).otherwise(F.col("carried.n_chars")),
+    }
+    return rows.select(*(new.get(c, F.col("carried").getField(c)).alias(c) for c in docs.columns))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item's question and answer."""
-    leaks = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

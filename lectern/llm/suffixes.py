@@ -177,7 +177,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 100, id_col: str = "doc
     """(doc, tag, n_bytes, starts, ends, kept, kept_text): per row the removed byte runs and what is left.
 
     kept_text leaves out the bytes of letters that were cut apart; ``carry`` names columns to
-    return in a struct ``carried``.
+    return in a struct ``carried``, with whether there was a text in ``had_text``.
 
     A byte goes if it lies in a string of ``length`` bytes that also starts earlier: in a smaller
     doc_id, or earlier in the same document.  All strings are judged on the input.  Null text
@@ -189,10 +189,10 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 100, id_col: str = "doc
     unit = Unit(words=False, length=length, k=max(1, length // 4), within=True)
     found = repeats(docs, unit, _solver(length), id_col, text_col)
     joined = keyed(docs, id_col, text_col, carry).join(found, ["doc", "tag"], "left")
-    more = ["carried"] if carry else []
+    more = ["carried", "had_text"] if carry else []
     schema = "doc long, tag long, n_bytes long, starts array<int>, ends array<int>, kept binary, kept_text string"
     if carry:
-        schema += ", carried " + joined.schema["carried"].dataType.simpleString()
+        schema += ", carried " + joined.schema["carried"].dataType.simpleString() + ", had_text boolean"
     return joined.select("doc", "tag", "text", "spans", *more).mapInArrow(_remover(length), schema)
 
 
