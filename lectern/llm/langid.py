@@ -130,8 +130,9 @@ def _answers(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray, np.
         base = offsets[first : last + 1]
         buf, base = raw[base[0] : base[-1]], base - base[0]
         texts = [_LETTER.search(buf[a:b].tobytes().decode("utf-8", "replace")) is not None for a, b in zip(base[:-1], base[1:], strict=True)]
-        known = np.array(texts) & bool(model.languages)
-        lang, score, rejected = np.zeros(len(known), int), np.zeros(len(known)), np.ones(len(known), bool)
+        lettered = np.array(texts)
+        known = lettered & bool(model.languages)
+        lang, score, rejected = np.zeros(len(known), int), np.zeros(len(known)), np.zeros(len(known), bool)
         for a in range(0, len(known), 256):
             part = slice(a, a + 256)
             if model.languages:
@@ -139,7 +140,7 @@ def _answers(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray, np.
                 lang[part], score[part], rejected[part] = model.predict(_counts(buf[off[0] : off[-1]], off - off[0]))
         names += [model.languages[i] if ok else UNKNOWN for i, ok in zip(lang.tolist(), known.tolist(), strict=True)]
         scores.append(np.where(known, score, 0.0))
-        rejections.append(rejected | ~known)
+        rejections.append(rejected | ~lettered)
     return names, np.concatenate(scores), np.concatenate(rejections)
 
 
@@ -157,7 +158,7 @@ def _keep_mapper(model: Model, text: int, lang: int):
         for batch in batches:
             names, _, rejected = _answers(model, batch.column(text))
             columns = list(batch.columns)
-            columns[lang] = pc.coalesce(columns[lang], pa.array(names, pa.string()))
+            columns[lang] = pc.coalesce(columns[lang], pa.array([None if n == UNKNOWN else n for n in names], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(~rejected))
 
     return run
@@ -171,8 +172,8 @@ def keep_known(docs: DataFrame, model: Model, text_col: str = "text", lang_col:
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, rejected) for every row, from its text alone.
 
-    A null text, or one without a letter, is ``und`` with score 0 and rejected; so is every text
-    if nothing was learned.  Equal texts get equal answers, whatever their ids; other columns are
+    A null text, or one without a letter, is ``und`` with score 0 and rejected.  If nothing was
+    learned every text is ``und`` with score 0, and those with a letter aren't rejected.  Equal texts get equal answers, whatever their ids; other columns are
     ignored; an empty table gives an empty result.
     """
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(_predict_mapper(model), "doc_id long, lang_pred string, score double, rejected boolean")
