@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import ann, chat, decontaminate, fmindex, langid, minhash, mixing, suffixes, tokens, warc
+from lectern.llm import ann, chat, decontaminate, fmindex, langid, minhash, mixing, oracles, suffixes, tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,4 +89,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_formatting": op10_chat_formatting,
 }
 
-ORACLES: dict[str, str] = {"op7_source_mixing": mixing.ORACLE, "op10_chat_formatting": chat.ORACLE}
+#: Without a twin: op2 (a trained model), op5 (approximate), op8 (a BPE), op9 (ranked retrieval) and the pipeline.
+ORACLES: dict[str, str] = {
+    "op1_minhash_near_dedup": oracles.NEAR_DUPLICATES,
+    "op3_suffix_array_dedup": oracles.REPEATED_BYTES,
+    "op4_substring_dedup": oracles.REPEATED_WORDS,
+    "op6_warc": oracles.WARC,
+    "op7_source_mixing": mixing.ORACLE,
+    "op10_chat_formatting": chat.ORACLE,
+}
