@@ -27,6 +27,8 @@ DIM = 4096
 UNKNOWN = "und"
 #: Rejection: cosine below ``STRICT`` times the low quantile of the language's own training texts.
 STRICT, QUANTILE = 0.5, 0.01
+#: Bound on the training sample over all languages.
+MOST_SAMPLED = 50_000
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -103,7 +105,12 @@ def train(labelled: DataFrame, per_language: int = 300, clusters: int = 4, id_co
     whole = Window.partitionBy(lang_col).orderBy(draw, id_col)
     ids = usable.select(lang_col, id_col).withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= per_language)
     ids = ids.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= per_language)
-    chosen = usable.join(ids.select(id_col, lang_col).distinct(), [id_col, lang_col], "left_semi")
+    # The sample's ids are few (per_language for each language, checked), so the texts stay where they are.
+    picked = ids.select(id_col, lang_col).distinct().limit(MOST_SAMPLED + 1).collect()
+    if len(picked) > MOST_SAMPLED:
+        raise ValueError(f"more than {MOST_SAMPLED} training documents; lower per_language")
+    sample = labelled.sparkSession.createDataFrame(picked, ids.select(id_col, lang_col).schema)
+    chosen = usable.join(F.broadcast(sample), [id_col, lang_col], "left_semi")
     rows = chosen.select(F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("text")).mapInArrow(_count_mapper, "lang string, counts binary").collect()
     rows.sort(key=lambda r: (r["lang"], r["counts"]))
     languages = sorted({r["lang"] for r in rows})
