@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import python_udfs as py
 from lectern.functions import text as tx
+from lectern.operators import assets
 from lectern.operators import citations as ci
 from lectern.operators import cleaning as cl
 from lectern.operators import figures as fi
@@ -549,3 +550,73 @@ def chunk_counts_by_source(spark, d):
 def slugs_and_titles(spark, d):
     title = tx.title(F.col("text"), F.lit(""))
     return notes(spark, d).select("doc_id", tx.slugify(title).alias("slug"), tx.clean_title(F.concat(title, F.lit(": a/b?"))).alias("clean"))
+
+
+# --- reference titles, assets, paths --------------------------------------------------------
+
+
+@query("reference_title_units", sql.TITLE_UNITS)
+def reference_title_units(spark, d):
+    entries = ci.reference_entries(notes(spark, d))
+    marked = entries.withColumn("entry", F.when(F.col("number") == 3, F.concat("entry", F.lit(" 《记》"))).otherwise(F.col("entry")))
+    return un.reference_title_units(marked).groupBy("number", "status").agg(F.count(F.lit(1)).alias("n"), F.count("unit_id").alias("n_units"), F.max("existing_zh").alias("zh"))
+
+
+@query("transport_metrics", sql.TRANSPORT)
+def transport_metrics(spark, d):
+    return un.transport_metrics(un.translation_units(notes(spark, d)))
+
+
+@query("figure_links_stripped", sql.STRIPPED)
+def figure_links_stripped(spark, d):
+    linked = notes(spark, d).withColumn("text", F.concat("text", F.lit("[Figure 1](a.png) [[b.png|图 2]] [other](c) ![Figure 3](d.png)")))
+    return linked.select("doc_id", tx.sha256_text(tx.strip_figure_links(F.col("text"))).alias("sha256"))
+
+
+@query("image_groups", sql.GROUPS)
+def image_groups(spark, d):
+    return assets.image_groups(notes(spark, d)).select("doc_id", "figure", F.array_join("images", ",").alias("images"))
+
+
+@query("image_groups_replaced", sql.GROUPS_REPLACED)
+def image_groups_replaced(spark, d):
+    rows = notes(spark, d)
+    crops = assets.image_groups(rows).select("doc_id", "figure", F.lit("crop.png").alias("target"))
+    return assets.replace_image_groups(rows, crops).select("doc_id", sha())
+
+
+@query("crop_plan", sql.CROPS)
+def crop_plan(spark, d):
+    items = table(spark, d, "lineitem").where("l_linenumber <= 2")
+    boxes = _boxes(spark, d).drop("image_path", "kind", "text")
+    numbered = items.select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("p/"), F.col("l_linenumber").cast("string"), F.lit(".png")).alias("image"), F.lit(0).alias("page"), F.expr("CAST((l_partkey % 5) * 100 AS DOUBLE)").alias("x0"), F.expr("CAST((l_suppkey % 7) * 40 AS DOUBLE)").alias("y0"), F.expr("CAST((l_partkey % 5) * 100 AS DOUBLE) + 120").alias("x1"), F.expr("CAST((l_suppkey % 7) * 40 AS DOUBLE) + 30").alias("y1"), F.lit(True).alias("normalized"))
+    groups = boxes.select("doc_id").distinct().select("doc_id", F.lit("1").alias("figure"), F.array(F.lit("1.png"), F.lit("x/2.png")).alias("images"))
+    pages = boxes.select("doc_id", "page").distinct().select("doc_id", "page", F.lit(500.0).alias("width"), F.lit(800.0).alias("height"))
+    return assets.crop_plan(groups, numbered, pages).select("doc_id", "x0", "y0", "x1", "y1", "status")
+
+
+@query("asset_summary", sql.ASSET_SUMMARY)
+def asset_summary(spark, d):
+    rows = table(spark, d, "events").select(F.col("user_id").cast("string").alias("source_url_sha256"), F.expr("CASE event_id % 4 WHEN 0 THEN 'downloaded' WHEN 1 THEN 'hit' ELSE 'deferred' END").alias("status"), (F.col("event_id") % 100).alias("download_ms"))
+    return assets.asset_summary(rows)
+
+
+@query("alignment_sync", sql.ALIGNMENT)
+def alignment_sync(spark, d):
+    docs = table(spark, d, "documents").select(F.concat(F.lit("n"), F.col("doc_id").cast("string"), F.lit(".md")).alias("note"), F.lit("i.png").alias("image"), (F.col("doc_id") % 3 == 0).alias("float_candidate"), "doc_id")
+    cache = docs.where("doc_id % 2 = 0").select("note", py.image_hash(F.concat("note", F.lit(":/i.png"))).alias("cache_key"), F.lit("left").alias("position"), F.lit("10").alias("width"), F.lit("").alias("height"), F.lit(True).alias("wrap"))
+    return assets.sync_alignments(docs.drop("doc_id"), cache).select("note", "status", "position", "width", "wrap", "float_candidate")
+
+
+@query("reusable_packages", sql.PACKAGES)
+def reusable_packages(spark, d):
+    orders = table(spark, d, "orders")
+    manifests = orders.select(F.col("o_custkey").cast("string").alias("item_key"), F.concat(F.lit("p/"), F.col("o_orderkey").cast("string")).alias("path"), F.col("o_orderstatus").alias("source_file_sha256"), F.col("o_orderpriority").alias("parse_options_fingerprint"))
+    wanted = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("item_key"), F.lit("F").alias("pdf_sha256"), F.when(F.col("c_custkey") % 2 == 0, "1-URGENT").alias("fingerprint"))
+    return assets.reusable_packages(wanted, manifests)
+
+
+@query("relative_paths", sql.PATHS)
+def relative_paths(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.expr("'_resources/' || lang || '/' || CAST(doc_id AS STRING) || '.png'").alias("path"), F.expr("'notes/' || source").alias("folder"))
+    return rows.select("doc_id", assets.relative_path(F.col("path"), F.col("folder")).alias("relative"), assets.is_within(F.concat(F.lit("../"), "path")).alias("within"), tx.task_name(F.concat(F.lit("/v/"), "folder", F.lit("/workflow")), F.lit(2)).alias("task"))

@@ -228,3 +228,23 @@ EDITS = _WITH_MD + "SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 5 = 0 THEN
 MIGRATION = "SELECT count(*) AS notes_scanned, count(*) FILTER (doc_id % 2 = 0) AS notes_changed, CAST(-2 * count(*) FILTER (doc_id % 2 = 0) AS BIGINT) AS chars_added FROM documents"
 BY_SOURCE = _WITH_UN + ", n AS (SELECT doc_id, count(*) AS n FROM un GROUP BY doc_id) SELECT source, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_units FROM documents JOIN n USING (doc_id) GROUP BY source"
 SLUGS = "SELECT doc_id, 'paper-' || CAST(doc_id AS VARCHAR) || '-of-' || lower(source) AS slug, 'Paper ' || CAST(doc_id AS VARCHAR) || ' of ' || source || ' a b' AS clean FROM documents"
+
+TITLE_UNITS = """SELECT CAST(v.n AS INTEGER) AS number, v.s AS status, count(*) AS n, CASE WHEN v.s = 'pending' THEN count(*) ELSE 0 END AS n_units, v.z AS zh FROM documents,
+(VALUES (1, 'pending', NULL), (2, 'pending', NULL), (3, 'reused', '记')) AS v(n, s, z) GROUP BY v.n, v.s, v.z"""
+TRANSPORT = _WITH_UN + "SELECT doc_id, kind, count(*) AS n_units, CAST(sum(length(english)) AS BIGINT) AS n_chars, CAST(sum(octet_length(encode(english))) AS BIGINT) AS n_bytes FROM un WHERE reason IS NULL GROUP BY doc_id, kind"
+STRIPPED = _WITH_MD + "SELECT doc_id, sha256(md || 'Figure 1 图 2 [other](c) ![Figure 3](d.png)') AS sha256 FROM md"
+GROUPS = "SELECT doc_id, '2' AS figure, 'a.png,b.png' AS images FROM documents WHERE doc_id % 7 = 2"
+GROUPS_REPLACED = _WITH_MD + f"SELECT doc_id, sha256(replace(md, '![a](a.png)' || {_NL} || '![b](b.png)' || {_NL} || {_NL} || 'Fig. 2', '![Figure 2](crop.png)' || {_NL} || {_NL} || 'Fig. 2')) AS sha256 FROM md"
+CROPS = """WITH b AS (SELECT l_orderkey AS doc_id, l_linenumber, (l_partkey % 5) * 100.0 AS x0, (l_suppkey % 7) * 40.0 AS y0, (l_partkey % 5) * 100.0 + 120 AS x1, (l_suppkey % 7) * 40.0 + 30 AS y1 FROM lineitem WHERE l_linenumber <= 2 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY x0, y0) = 1),
+d AS (SELECT DISTINCT l_orderkey AS doc_id FROM lineitem),
+u AS (SELECT doc_id, count(DISTINCT l_linenumber) AS n, CAST(min(x0) AS DOUBLE) AS x0, CAST(min(y0) AS DOUBLE) AS y0, CAST(max(x1) AS DOUBLE) AS x1, CAST(max(y1) AS DOUBLE) AS y1 FROM d LEFT JOIN b USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN n > 0 THEN greatest(0.0, x0 * 500.0 / 1000 - 4) ELSE 0.0 END AS x0, CASE WHEN n > 0 THEN greatest(0.0, y0 * 800.0 / 1000 - 4) ELSE 0.0 END AS y0, CASE WHEN n > 0 THEN least(500.0, x1 * 500.0 / 1000 + 4) END AS x1, CASE WHEN n > 0 THEN least(800.0, y1 * 800.0 / 1000 + 4) END AS y1,
+CASE WHEN n < 2 THEN 'missing_image' ELSE 'crop' END AS status FROM u"""
+ASSET_SUMMARY = """WITH p AS (SELECT user_id, max(event_id % 100) AS ms, bool_or(event_id % 4 = 0) AS got, count(*) AS n FROM events GROUP BY user_id)
+SELECT CAST(sum(n) AS BIGINT) AS n_assets, count(*) AS n_sources, count(*) FILTER (got) AS n_downloaded, count(*) FILTER (NOT got) AS n_hits, CAST(0 AS BIGINT) AS n_failed, CAST(sum(ms) AS BIGINT) AS download_ms FROM p"""
+ALIGNMENT = """SELECT 'n' || CAST(doc_id AS VARCHAR) || '.md' AS note, CASE WHEN doc_id % 2 = 0 THEN 'preserved_existing' ELSE 'added' END AS status, CASE WHEN doc_id % 2 = 0 THEN 'left' ELSE 'center' END AS position,
+CASE WHEN doc_id % 2 = 0 THEN '10' ELSE '' END AS width, doc_id % 2 = 0 AS wrap, doc_id % 3 = 0 AS float_candidate FROM documents"""
+PACKAGES = """SELECT CAST(c_custkey AS VARCHAR) AS item_key, max('p/' || CAST(o_orderkey AS VARCHAR)) AS path FROM customer JOIN orders ON o_custkey = c_custkey
+WHERE o_orderstatus = 'F' AND (c_custkey % 2 <> 0 OR o_orderpriority = '1-URGENT') GROUP BY c_custkey"""
+PATHS = """SELECT doc_id, '../../_resources/' || lang || '/' || CAST(doc_id AS VARCHAR) || '.png' AS relative, CASE WHEN lang IS NOT NULL THEN false END AS within,
+'translate_' || source || '_' || substr(sha256('/v/notes/' || source || '/workflow'), 1, 16) || '_a2' AS task FROM documents"""

@@ -4,7 +4,7 @@ import sqlite3
 
 from pyspark.sql import functions as F
 
-from lectern.operators import citations, cleaning, figures, knowledge, lines, units, validators, workflow
+from lectern.operators import assets, citations, cleaning, figures, knowledge, lines, units, validators, workflow
 from lectern.sources import readers, sinks
 from lectern.streaming import notes as streaming
 
@@ -170,3 +170,42 @@ def test_reference_titles(spark):
     }
     rows = spark.createDataFrame([(k,) for k in cases], "e string").select("e", units.infer_title(F.col("e")).alias("t")).collect()
     assert {r.e: (r.t.title, r.t.mode) for r in rows} == cases
+
+
+def test_paths_and_titles(spark):
+    rows = spark.createDataFrame([("a/b/c.png", "a/d"), ("x.png", ""), ("a/x.png", "a"), ("../y", "a/b")], "p string, d string")
+    out = [tuple(r) for r in rows.select(assets.relative_path(F.col("p"), F.col("d")), assets.is_within(F.col("p"))).collect()]
+    assert out == [("../b/c.png", True), ("x.png", True), ("x.png", True), ("../../../y", False)]
+    entries = spark.createDataFrame([(1, 2, "Doe, J. (2020) A study of tests. Journal of Tests. 《研究》")], "doc_id long, number int, entry string")
+    row = units.reference_title_units(entries).first()
+    assert (row.unit_id, row.existing_zh, row.status) == (None, "研究", "reused")
+
+
+def test_fetch_keeps_failures_as_rows(spark):
+    def fetcher(source):
+        if "bad" in source:
+            raise OSError("no route")
+        return b"image"
+
+    rows = spark.createDataFrame([("data:image/png;base64,YWJj",), ("data:,a%20b",), ("https://e.org/bad",), ("https://e.org/x",), ("https://e.org/x",)], "source string")
+    out = {r.source: (r.status, None if r.content is None else bytes(r.content), r.error) for r in assets.fetch(rows, fetcher).collect()}
+    assert out == {"data:image/png;base64,YWJj": ("downloaded", b"abc", None), "data:,a%20b": ("downloaded", b"a b", None), "https://e.org/bad": ("failed", None, "no route"), "https://e.org/x": ("downloaded", b"image", None)}
+
+
+def test_image_groups_become_one_crop(spark):
+    note = "![a](p/1.png)\n\n![b](p/2.png)\nFig. 3: x\n![c](c.png)\nFigure 4: y\n"
+    groups = assets.image_groups(notes(spark, note))
+    assert [(r.figure, r.images) for r in groups.collect()] == [("3", ["p/1.png", "p/2.png"])]
+    crops = spark.createDataFrame([(0, "3", "crops/3.png")], "doc_id long, figure string, target string")
+    assert text_of(assets.replace_image_groups(notes(spark, note), crops)) == ["![Figure 3](crops/3.png)\n\nFig. 3: x\n![c](c.png)\nFigure 4: y\n"]
+
+
+def test_alignments_keep_manual_entries(spark):
+    images = spark.createDataFrame([("n.md", "a.png", True), ("n.md", "b.png", False)], "note string, image string, float_candidate boolean")
+    keys = {r.image: r.cache_key for r in assets.sync_alignments(images, spark.createDataFrame([], "note string, cache_key string, position string, width string, height string, wrap boolean")).collect()}
+    cache = spark.createDataFrame([("n.md", keys["a.png"], "left", "10", "", True)], "note string, cache_key string, position string, width string, height string, wrap boolean")
+    out = {r.image: (r.status, r.position, r.width, r.wrap) for r in assets.sync_alignments(images, cache).collect()}
+    assert out == {"a.png": ("preserved_existing", "left", "10", True), "b.png": ("added", "center", "", False)}
+    over = {r.image: (r.status, r.position, r.width) for r in assets.sync_alignments(images, cache, overwrite=True).collect()}
+    assert over["a.png"] == ("overwritten", "center", "10")
+    assert tuple(assets.alignment_counts(assets.sync_alignments(images, cache)).first()) == ("n.md", 1, 0, 1, 1)
