@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
@@ -19,29 +19,27 @@ INLINE = r"!?\[\[[^\]\r\n]+\]\]|!?\[[^\]\r\n]*\]\([^)]+\)|`+[^`\r\n]*`+|(?<!\$)\
 ANCHOR_LINK = r"\[\[#(fig-[^\]|\n]+)(?:\|([^\]\n]+))?\]\]"
 
 
-def figure_candidates(rows: DataFrame) -> DataFrame:
-    """(doc_id, figure_id, style, target, n_images, line_no): images that a caption follows across blank lines.
+#: Image lines with blank lines between, and the line that follows them.
+IMAGE_RUN = r"(?m)(?:^[ \t]*(?:!\[[^\]]*\]\([^)\r\n]+\)|!\[\[[^\]|\r\n]+(?:\|[^\]\r\n]+)?\]\])[ \t\r]*\n(?:[ \t\r]*\n)*)+[^\n]*"
 
-    Blank lines carry nothing; each other line is compared with the run of images before it.
+
+def figure_candidates(notes: DataFrame) -> DataFrame:
+    """(doc_id, figure_id, style, target, n_images, run_no): images that a caption follows across blank lines.
+
+    The runs are found in each text as it stands, so nothing is exploded but what is a run.
     """
-    solid = rows.where(F.trim("line") != "").withColumns({"image": F.coalesce(F.nullif(F.regexp_extract("line", IMAGE_LINE, 1), F.lit("")), F.nullif(F.regexp_extract("line", IMAGE_LINE, 2), F.lit(""))), "wiki": F.regexp_extract("line", IMAGE_LINE, 2) != ""})
-    order = Window.partitionBy("doc_id").orderBy("line_no")
-    island = F.sum(F.col("image").isNull().cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    runs = solid.withColumn("island", F.coalesce(island, F.lit(0)))
-    held = runs.groupBy("doc_id", "island").agg(
-        F.count("image").alias("n_images"),
-        F.max(F.when(F.col("image").isNull(), F.struct("line_no", "line"))).alias("closing"),
-        F.max_by("image", F.when(F.col("image").isNotNull(), F.col("line_no"))).alias("target"),
-        F.max_by("wiki", F.when(F.col("image").isNotNull(), F.col("line_no"))).alias("wiki"),
-        F.max(F.when(F.col("image").isNotNull(), F.col("line_no"))).alias("line_no"),
-    )
-    raw = F.regexp_extract(F.col("closing.line"), CAPTION, 1)
-    return held.where((F.col("n_images") > 0) & (raw != "")).select("doc_id", tx.canonical_figure_id(raw).alias("figure_id"), F.when(F.col("wiki"), "wiki").otherwise("markdown").alias("style"), "target", "n_images", "line_no")
+    runs = notes.select("doc_id", F.posexplode(find_all(F.col("text"), IMAGE_RUN)).alias("run_no", "run"))
+    raw = F.regexp_extract(F.element_at(F.split("run", "\n"), -1), CAPTION, 1)
+    images = F.filter(F.split("run", "\n"), lambda x: x.rlike(IMAGE_LINE))
+    named = runs.select("doc_id", "run_no", raw.alias("raw"), images.alias("images")).where("raw <> ''")
+    last = F.element_at("images", -1)
+    wiki = F.regexp_extract(last, IMAGE_LINE, 2)
+    return named.select("doc_id", tx.canonical_figure_id(F.col("raw")).alias("figure_id"), F.when(wiki != "", "wiki").otherwise("markdown").alias("style"), F.trim(F.when(wiki != "", wiki).otherwise(F.regexp_extract(last, IMAGE_LINE, 1))).alias("target"), F.size("images").alias("n_images"), "run_no")
 
 
-def figure_targets(rows: DataFrame) -> DataFrame:
+def figure_targets(notes: DataFrame) -> DataFrame:
     """(doc_id, figure_id, style, target, status): unique targets, or why a figure has none."""
-    found = figure_candidates(rows).groupBy("doc_id", "figure_id").agg(F.max("n_images").alias("most"), F.count_distinct("style", "target").alias("n"), F.min(F.struct("line_no", "style", "target")).alias("first"))
+    found = figure_candidates(notes).groupBy("doc_id", "figure_id").agg(F.max("n_images").alias("most"), F.count_distinct("style", "target").alias("n"), F.min(F.struct("run_no", "style", "target")).alias("first"))
     status = F.when(F.col("most") > 1, "multi_asset").when(F.col("n") > 1, "multiple_distinct_targets").otherwise("unique")
     unique = status == "unique"
     return found.select("doc_id", "figure_id", F.when(unique, F.col("first.style")).alias("style"), F.when(unique, F.col("first.target")).alias("target"), status.alias("status"))
@@ -86,7 +84,7 @@ def mentions(rows: DataFrame, targets: DataFrame) -> DataFrame:
 
 def link_figures(notes: DataFrame) -> DataFrame:
     """(doc_id, text): mentions of uniquely targeted figures as links; ranges and protected text stay."""
-    unique = figure_targets(ln.lines(notes)).where("status = 'unique'")
+    unique = figure_targets(notes).where("status = 'unique'")
     per_doc = unique.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("figure_id", F.struct("style", "target")))).alias("_targets"))
     joined = notes.join(per_doc, "doc_id", "left")
     entry = lambda raw: F.try_element_at("_targets", tx.canonical_figure_id(raw))

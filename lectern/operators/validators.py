@@ -88,18 +88,32 @@ def validate_references(notes: DataFrame) -> DataFrame:
 
 def validate_text(notes: DataFrame) -> DataFrame:
     text = F.col("text")
-    prose = F.array_join(gaps(text, PROTECTED), " ")
+    measured = let(
+        F.array_join(gaps(text, PROTECTED), " "),
+        lambda prose: F.struct(
+            count(text, r"\$\$").alias("display"),
+            count(text, r"(?m)^[ \t]*```").alias("fences"),
+            tx.mojibake_score(text).alias("mojibake"),
+            text.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]").alias("control"),
+            text.rlike(r"(?i)(?:/tmp/|\\temp\\|/images/)").alias("temporary"),
+            prose.rlike(r"</?(?:table|tr|td|div|span|nav)\b").alias("html"),
+            prose.contains("\\(").alias("tex"),
+            (count(F.regexp_replace(text, r"\$\$|\\\$", ""), r"\$") % 2 == 1).alias("dollars"),
+        ),
+    )
+    rows = notes.select("doc_id", measured.alias("m"))
+    m = lambda c: F.col(f"m.{c}")
     return _findings(
-        notes,
+        rows,
         [
-            ("error", "odd_display_math", count(text, r"\$\$") % 2 == 1, count(text, r"\$\$")),
-            ("error", "odd_fences", count(text, r"(?m)^[ \t]*```") % 2 == 1, count(text, r"(?m)^[ \t]*```")),
-            ("error", "mojibake", tx.mojibake_score(text) > 0, tx.mojibake_score(text)),
-            ("error", "control_characters", text.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]"), None),
-            ("error", "temporary_path", text.rlike(r"(?i)(?:/tmp/|\\temp\\|/images/)"), None),
-            ("warning", "html_tags", prose.rlike(r"</?(?:table|tr|td|div|span|nav)\b"), None),
-            ("warning", "tex_parentheses", prose.contains("\\("), None),
-            ("warning", "odd_dollars", count(F.regexp_replace(text, r"\$\$|\\\$", ""), r"\$") % 2 == 1, None),
+            ("error", "odd_display_math", m("display") % 2 == 1, m("display")),
+            ("error", "odd_fences", m("fences") % 2 == 1, m("fences")),
+            ("error", "mojibake", m("mojibake") > 0, m("mojibake")),
+            ("error", "control_characters", m("control"), None),
+            ("error", "temporary_path", m("temporary"), None),
+            ("warning", "html_tags", m("html"), None),
+            ("warning", "tex_parentheses", m("tex"), None),
+            ("warning", "odd_dollars", m("dollars"), None),
         ],
     )
 
@@ -214,4 +228,4 @@ def broken_figure_links(notes: DataFrame, files: DataFrame) -> DataFrame:
     rows = ln.lines(notes)
     shown = r"(?<!!)\[((?:Figure|Fig\.?|图)[^\]\n]*)\]\(([^)\n]+)\)"
     links = rows.where(F.col("region") == ln.PROSE).select("doc_id", "line_no", F.explode(find_all(F.col("line"), shown)).alias("m")).select("doc_id", "line_no", F.regexp_extract("m", shown, 1).alias("display"), F.regexp_extract("m", shown, 2).alias("target"))
-    return figures.broken_links(links, figures.figure_targets(rows), files)
+    return figures.broken_links(links, figures.figure_targets(notes), files)

@@ -234,13 +234,13 @@ def citations_normalized(spark, d):
 @query("figure_targets", sql.FIGURES)
 def figure_targets(spark, d):
     repaired = notes(spark, d).withColumn("text", cl.repair_mixed_images(F.col("text")))
-    return fi.figure_targets(ln.lines(repaired)).select("doc_id", "figure_id", "target", "status")
+    return fi.figure_targets(repaired).select("doc_id", "figure_id", "target", "status")
 
 
 @query("figure_mentions_linked", sql.MENTIONS)
 def figure_mentions_linked(spark, d):
-    rows = ln.lines(notes(spark, d).withColumn("text", cl.repair_mixed_images(F.col("text"))))
-    return fi.mentions(rows, fi.figure_targets(rows)).groupBy("doc_id", "kind", "status").agg(F.count(F.lit(1)).alias("n"))
+    repaired = notes(spark, d).withColumn("text", cl.repair_mixed_images(F.col("text")))
+    return fi.mentions(ln.lines(repaired), fi.figure_targets(repaired)).groupBy("doc_id", "kind", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("figures_linked_text", sql.FIGURES_TEXT)
