@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import textkit as tk
-from lectern.llm.scratch import materialize, shuffle_partitions
+from lectern.llm.scratch import bound_batches, materialize, shuffle_partitions
 
 #: Stands for a null doc_id in orderings: after all others.
 LAST = 2**63 - 1
@@ -250,6 +250,7 @@ def repeats(docs: DataFrame, unit: Unit, shard_solver, id_col: str = "doc_id", t
     and returns the runs (doc, tag, lo, n) of their windows that repeat an earlier one.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     texts = keyed(docs, id_col, text_col)
     buckets = min(1 << 20, max(2 * shuffle_partitions(spark), size_hint(docs) >> 23))
     chunks = texts.select("doc", "text").mapInArrow(_record_mapper(unit, buckets), _CHUNK)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import textkit as tk
 from lectern.llm.components import connected_components
-from lectern.llm.scratch import materialize
+from lectern.llm.scratch import bound_batches, materialize
 
 BANDS, ROWS, BITS = 32, 4, 2
 #: Six standard deviations of the estimate at similarity 0.8 and 128 values.
@@ -75,7 +75,7 @@ def _signature_mapper(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = tk.column_bytes(batch.column(1))
-            for first, last in tk.text_chunks(offsets, 4 << 20):
+            for first, last in tk.text_chunks(offsets, 1 << 20):
                 base = offsets[first : last + 1]
                 sets = _shingle_sets(tk.lower_ascii(raw[base[0] : base[-1]]), base - base[0], k)
                 low = np.stack([_minima(s) for s in sets])
@@ -152,7 +152,7 @@ def _token_mapper(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = tk.column_bytes(batch.column(2))
-            for first, last in tk.text_chunks(offsets, 4 << 20):
+            for first, last in tk.text_chunks(offsets, 1 << 20):
                 base = offsets[first : last + 1]
                 sets = _shingle_sets(tk.lower_ascii(raw[base[0] : base[-1]]), base - base[0], k)
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), tk.int64(np.concatenate(sets)))
@@ -198,6 +198,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     and never stands for a component unless all of them are null.  Other columns are ignored.
     An empty table gives an empty result.
     """
+    bound_batches(docs.sparkSession)
     sig = materialize(signatures(docs, shingle, id_col, text_col), "minhash")
     classes = sig.where("n_shingles > 0").groupBy("set_hash").agg(F.min("id").alias("node")).where("node IS NOT NULL")
     classes = materialize(classes, "classes")
