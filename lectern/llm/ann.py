@@ -8,8 +8,11 @@ bucket hash; buckets over ``BIG`` rows are split into salted parts that every pr
 bucket visits, so none is cut short.  Candidates of all tables are merged and reranked by exact
 distance in double precision.
 
-W is twice the root mean square distance from the mean, on a sample of ``SAMPLE`` rows; m grows
-as 0.45 log2(rows).  Recall against brute force is measured in the tests.
+W is twice the root mean square distance from the mean, on a sample of ``SAMPLE`` rows.  m starts
+at 0.45 log2(rows), at which recall falls as tables grow; so the true neighbours of ``JUDGED``
+queries are found among all rows, and where the probes would miss more of them than the target
+allows, the cheapest of fewer hashes and more probes that meets it is taken, or an exact search if
+none does.  Queries whose probes meet fewer than k rows are searched exactly.
 """
 
 from __future__ import annotations
@@ -24,10 +27,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import textkit as tk
-from lectern.llm.scratch import shuffle_partitions
+from lectern.llm.scratch import materialize, shuffle_partitions
 
 SAMPLE = 4096
 BIG = 20_000
+#: Queries whose true neighbours decide the effort, and queries of one pass of the exact search.
+JUDGED = 64
+CHUNK = 2048
+#: Most probes of a table, as a multiple of those asked for.
+MOST = 8
 _INDEXED = "key long, vec_id long, vec binary"
 _PROBES = "key long, vec_id long, vec binary"
 
@@ -115,6 +123,89 @@ def _probe_mapper(family: Family, dim: int, probes: int):
     return run
 
 
+def _exact_mapper(asked: list[tuple[int, bytes]], k: int, dim: int, vectors: bool):
+    """The k nearest of a partition's rows for every query of ``asked``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = np.array([np.frombuffer(vec, dtype=np.float64) for _, vec in asked]).reshape(-1, dim)
+        best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, np.int64), np.empty((0, dim)))] * len(q)
+        edge = np.full(len(q), np.inf)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                x, ids = _matrix(part.column(1), dim), part.column(0).to_numpy()
+                rough = np.square(x).sum(axis=1)[:, None] - 2 * (x @ q.T)
+                norm = np.square(q).sum(axis=1)
+                limit = np.square(edge) - norm
+                limit += 1e-9 * (1 + np.abs(limit) + norm)
+                for i in np.flatnonzero(rough.min(axis=0) <= limit).tolist():
+                    near = np.flatnonzero((rough[:, i] <= limit[i]) & (ids != asked[i][0]))
+                    score, vec_id, vec = np.sqrt(np.square(x[near] - q[i]).sum(axis=1)), ids[near], x[near]
+                    score, vec_id, vec = np.append(best[i][0], score), np.append(best[i][1], vec_id), np.concatenate([best[i][2], vec])
+                    order = np.lexsort((vec_id, score))
+                    _, first = np.unique(vec_id[order], return_index=True)
+                    order = order[np.sort(first)[:k]]
+                    best[i] = score[order], vec_id[order], vec[order]
+                    if len(order) == k:
+                        edge[i] = best[i][0][-1]
+        for (query_id, _), (score, vec_id, vec) in zip(asked, best, strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(score), query_id)), pa.array(vec_id), pa.array(score), pa.array([v.tobytes() if vectors else b"" for v in vec], pa.binary())], names=["query_id", "vec_id", "score", "vec"])
+
+    return run
+
+
+def _exact(base: DataFrame, asked: list[tuple[int, bytes]], k: int, dim: int, vectors: bool = False) -> DataFrame:
+    """(query_id, vec_id, score, vec): the k nearest of all rows for each query, by a scan; vec is empty without ``vectors``."""
+    found = base.select("vec_id", "vec").mapInArrow(_exact_mapper(asked, k, dim, vectors), "query_id long, vec_id long, score double, vec binary")
+    ids = found.groupBy("query_id", "vec_id").agg(F.min_by(F.struct("score", "vec"), "score").alias("b")).select("query_id", "vec_id", "b.*")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    return ids.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+
+
+def _turns(family: Family, query: np.ndarray, others: np.ndarray, most: int) -> np.ndarray:
+    """(others, tables): at which of a query's probes each other row is met, ``most`` if at none."""
+    where = family.project(query[None])[0]
+    cells = np.floor(where)
+    apart = np.floor(family.project(others)) - cells
+    out = np.full((len(others), family.tables), most)
+    place = 3 ** np.arange(family.hashes)
+    for t in range(family.tables):
+        codes = (np.stack(perturbations((where - cells)[t], most)) + 1) @ place
+        order = np.argsort(codes)
+        near = np.flatnonzero((np.abs(apart[:, t]) <= 1).all(axis=1))
+        code = (apart[near, t].astype(np.int64) + 1) @ place
+        at = np.minimum(np.searchsorted(codes[order], code), len(codes) - 1)
+        out[near, t] = np.where(codes[order][at] == code, order[at], most)
+    return out
+
+
+def effort(points: np.ndarray, judged: list[tuple[np.ndarray, np.ndarray]], n: int, tables: int, probes: int, width: float, recall: float) -> tuple[int, int] | None:
+    """(hashes, probes) that find ``recall`` of the true neighbours at the least cost; None if nothing does.
+
+    ``judged`` holds queries and the vectors of their true neighbours, ``points`` a sample of rows.
+    The scheme's own m and ``probes`` are kept where they suffice; the search only goes up from there.
+    """
+    start, dim = max(3, round(0.45 * math.log2(max(2, n)))), points.shape[1]
+    wanted = sum(len(near) for _, near in judged)
+
+    def found(m: int, most: int) -> list[np.ndarray]:
+        family = Family(dim, m, tables, width)
+        return [_turns(family, q, near, most) for q, near in judged]
+
+    enough = lambda turns, p: sum(int((x.min(axis=1) < p).sum()) for x in turns) >= recall * wanted
+    if enough(found(start, probes), probes):
+        return start, probes
+    best: tuple[float, tuple[int, int]] | None = None
+    for m in range(start, 2, -1):
+        turns = found(m, probes * MOST)
+        p = next((probes * 2**i for i in range(MOST.bit_length()) if enough(turns, probes * 2**i)), None)
+        if p:
+            family = Family(dim, m, tables, width)
+            visited = np.mean([(_turns(family, q, points, p) < p).sum() for q, _ in judged]) / len(points)
+            best = min(best or (math.inf, (m, p)), (visited * n + tables * p, (m, p)))
+    return best[1] if best else None
+
+
 def _reranker(k: int):
     def run(index: pa.Table, queries: pa.Table) -> pa.Table:
         out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
@@ -159,9 +250,12 @@ def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).where(fine).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vec"))
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, tables: int = 12, probes: int = 32, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, tables: int = 12, probes: int = 32, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = 0.95) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest rows found, nearest first.
 
+    ``probes`` is the least number of buckets visited in a table; more are where ``recall``, as
+    measured on a sample of the queries against all rows, asks for them.
+
     ``rows`` and ``queries`` have an id and an array of numbers.  A query's own id is never its
     neighbour; ties go to the smaller id.  Rows whose id or vector is null, whose vector is all
     zero or holds a null or non-finite component, or whose length isn't the most common one of
@@ -177,12 +271,42 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, tables: int = 12,
     points = np.array([r["vec"] for r in sample if len(r["vec"]) == dim], dtype=np.float64).reshape(-1, dim)
     spread = float(np.sqrt(np.square(points - points.mean(axis=0)).sum(axis=1).mean())) if len(points) else 1.0
     n = base.count()
-    family = Family(dim, max(3, round(0.45 * math.log2(max(2, n)))), tables, 2 * (spread or 1.0))
+    width = 2 * (spread or 1.0)
 
     base = base.where(F.size("vec") == dim)
+    asked = usable(queries, id_col, vector_col).where(F.size("vec") == dim)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    raw = lambda r: (r["vec_id"], np.array(r["vec"], dtype=np.float64).tobytes())
+
+    some = [raw(r) for r in asked.orderBy(F.xxhash64("vec_id", "vec"), "vec_id").limit(JUDGED).collect()]
+    truth: dict[int, list] = {}
+    for r in _exact(base, some, k, dim, vectors=True).select("query_id", "vec").collect() if some else []:
+        truth.setdefault(r["query_id"], []).append(np.frombuffer(r["vec"], dtype=np.float64))
+    judged = [(np.frombuffer(vec, dtype=np.float64), np.array(truth[i])) for i, vec in some if i in truth]
+    plan = effort(points, judged, n, tables, probes, width, recall)
+    if plan is None:
+        found = spark.createDataFrame([], "query_id long, vec_id long, score double")
+    else:
+        found = _hashed(base, asked, k, n, Family(dim, plan[0], tables, width), plan[1])
+    found = materialize(found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "vec_id", "score"), "ann")
+
+    met = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("met"))
+    short = asked.join(met, asked["vec_id"] == met["query_id"], "left").where(F.coalesce("met", F.lit(0)) < k).select("vec_id", "vec")
+    short = materialize(short, "ann-short")
+    passes = math.ceil(short.count() / CHUNK)
+    for i in range(passes):
+        rest = [raw(r) for r in short.where(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == i).collect()]
+        if rest:
+            found = found.unionByName(materialize(_exact(base, rest, k, dim).select("query_id", "vec_id", "score"), "ann-exact"))
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+
+
+def _hashed(base: DataFrame, asked: DataFrame, k: int, n: int, family: Family, probes: int) -> DataFrame:
+    """(query_id, vec_id, score): rows that share a visited bucket, k at least of each query's nearest if so many do."""
+    spark, tables, dim = base.sparkSession, family.tables, family._a.shape[0]
     first = Window.partitionBy("vec").orderBy("vec_id")
     kept = base.select("vec_id", "vec", F.row_number().over(first).alias("copy")).where(F.col("copy") <= k + 1).select("vec_id", "vec")
-    asked = usable(queries, id_col, vector_col).where(F.size("vec") == dim)
 
     index = kept.mapInArrow(_index_mapper(family, dim), _INDEXED)
     parts = F.ceil(F.col("n") / BIG).cast("int").alias("parts")
@@ -196,6 +320,4 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, tables: int = 12,
     probing = probing.select(route(F.col("part")), "query_id", "vec", "key").groupBy("route", "query_id", "vec").agg(F.collect_set("key").alias("keys"))
 
     found = placed.groupBy("route").cogroup(probing.groupBy("route")).applyInArrow(_reranker(k), "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    return found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))

@@ -87,6 +87,37 @@ def test_big_buckets_are_split_not_cut(spark, monkeypatch):
     assert len(got & want) >= 27
 
 
+def test_recall_holds_where_the_fixed_effort_would_miss(spark):
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(2000, 16)) * np.where(np.arange(2000) % 20 == 0, 10, 1)[:, None]
+    frame = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id) for r in ann.nearest(frame, frame.where("vec_id % 20 = 0")).collect()}
+    want = {(q, v) for q in range(0, 2000, 20) for v, _ in exact(np.arange(2000), points, q)}
+    assert len(got) == 1000 and len(got & want) >= 900
+
+
+def test_queries_that_meet_too_few_rows_are_searched_exactly(spark):
+    rng = np.random.default_rng(6)
+    points = rng.normal(size=(300, 4))
+    points[0], points[100] = 500, -800
+    frame = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.vec_id) for r in ann.nearest(frame, frame.where("vec_id IN (0, 100)")).orderBy("query_id", "rank").collect()]
+    assert got == [(q, v) for q in (0, 100) for v, _ in exact(np.arange(300), points, q)]
+
+
+def test_effort_reaches_the_target_at_the_actual_size():
+    rng = np.random.default_rng(7)
+    points = rng.normal(size=(1000, 32)) / 32**0.5
+    steps = rng.normal(size=(40, 10, 32))
+    near = points[:40, None] + steps / np.linalg.norm(steps, axis=2, keepdims=True) * 1.2
+    judged = list(zip(points[:40], near, strict=True))
+    share = lambda m, p: np.mean([(ann._turns(ann.Family(32, m, 12, 2.0), q, x, p).min(axis=1) < p).mean() for q, x in judged])
+    assert share(11, 32) < 0.5
+    assert share(*ann.effort(points, judged, 30_000_000, 12, 32, 2.0, 0.95)) >= 0.95
+    assert ann.effort(points, judged, 500, 12, 32, 2.0, 0.95) == (4, 32)
+    assert ann.effort(points, [(points[0], points[:1] + 50)], 500, 12, 32, 2.0, 0.95) is None
+
+
 def test_perturbations_come_in_order_of_distance():
     inside = np.array([0.1, 0.6, 0.45])
     steps = ann.perturbations(inside, 12)
