@@ -216,6 +216,7 @@ def _reranker(k: int):
             order = np.argsort(keys, kind="stable")
             keys, ids, rows = keys[order], ids[order], rows[order]
             norms = np.einsum("ij,ij->i", rows, rows)
+            distinct, code = np.unique(ids, return_inverse=True)
             for query_id, vec, wanted in zip(queries.column("query_id").to_pylist(), queries.column("vec").to_pylist(), queries.column("keys").to_pylist(), strict=True):
                 q = np.frombuffer(vec, dtype=np.float64)
                 wanted = np.array(wanted, dtype=np.int64)
@@ -226,11 +227,13 @@ def _reranker(k: int):
                 c = np.concatenate(found)
                 c = c[ids[c] != query_id]
                 rough = norms[c] - 2 * (rows[c] @ q)
-                # A row stands once per table; beyond its copies only clearly farther rows are cut before the exact distance.
-                most = k * 16
-                if len(c) > most:
-                    edge = np.partition(rough, most)[most]
-                    c = c[rough <= edge + 1e-9 * (1 + abs(edge))]
+                # An id stands once per table and vector; only rows clearly farther than its k nearest ids are cut before the exact distance.
+                least = np.full(len(distinct), np.inf)
+                np.minimum.at(least, code[c], rough)
+                if len(distinct) > k:
+                    edge = np.partition(least, k - 1)[k - 1]
+                    if np.isfinite(edge):
+                        c = c[rough <= edge + 1e-9 * (1 + abs(edge))]
                 score = np.sqrt(np.square(rows[c] - q).sum(axis=1))
                 best = np.lexsort((ids[c], score))
                 c, score = c[best], score[best]
@@ -306,7 +309,8 @@ def _hashed(base: DataFrame, asked: DataFrame, k: int, n: int, family: Family, p
     """(query_id, vec_id, score): rows that share a visited bucket, k at least of each query's nearest if so many do."""
     spark, tables, dim = base.sparkSession, family.tables, family._a.shape[0]
     first = Window.partitionBy("vec").orderBy("vec_id")
-    kept = base.select("vec_id", "vec", F.row_number().over(first).alias("copy")).where(F.col("copy") <= k + 1).select("vec_id", "vec")
+    # Repeated rows go first: the k + 1 smallest are counted in ids, not in rows.
+    kept = base.dropDuplicates(["vec_id", "vec"]).select("vec_id", "vec", F.row_number().over(first).alias("copy")).where(F.col("copy") <= k + 1).select("vec_id", "vec")
 
     index = kept.mapInArrow(_index_mapper(family, dim), _INDEXED)
     parts = F.ceil(F.col("n") / BIG).cast("int").alias("parts")

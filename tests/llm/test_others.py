@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +88,22 @@ def test_big_buckets_are_split_not_cut(spark, monkeypatch):
     assert len(got & want) >= 27
 
 
+def test_repeated_rows_do_not_push_out_neighbours(spark):
+    rows = [(1, [1.0, 1.0])] * 11 + [(i, [1.0, 1.0]) for i in range(2, 11)] + [(0, [1.0, 1.1])] + [(i, [5.0, 5.0 + i]) for i in range(11, 40)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in ann.nearest(frame, frame.where("vec_id = 0")).orderBy("rank").collect()] == list(range(1, 11))
+    twice = frame.where("vec_id < 11 AND vec_id > 0").distinct()
+    out = ann.nearest(twice.union(twice), twice.where("vec_id = 5"), k=4).orderBy("rank").collect()
+    assert [r.vec_id for r in out] == [1, 2, 3, 4]
+
+
+def test_rough_cut_counts_ids_not_rows():
+    near = [(1, [0.001 * i, 0.0]) for i in range(500)] + [(i, [1.0, float(i)]) for i in range(2, 6)]
+    index = pa.table({"key": [7] * len(near), "vec_id": [i for i, _ in near], "vec": [np.array(v).tobytes() for _, v in near]})
+    asked = pa.table({"query_id": [9], "vec": [np.zeros(2).tobytes()], "keys": [[7]]})
+    assert ann._reranker(3)(index, asked)["vec_id"].to_pylist() == [1, 2, 3]
+
+
 def test_recall_holds_where_the_fixed_effort_would_miss(spark):
     rng = np.random.default_rng(5)
     points = rng.normal(size=(2000, 16)) * np.where(np.arange(2000) % 20 == 0, 10, 1)[:, None]
