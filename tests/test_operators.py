@@ -73,6 +73,36 @@ def test_captions_are_idempotent(spark):
     assert text_of(once.withColumn("text", cleaning.normalize_captions(F.col("text")))) == text_of(once)
 
 
+def test_captions_follow_every_rule(spark):
+    rules = [
+        ("10 mm 10\\\\,\\\\mathrm{mm}", r"$10\,\mathrm{mm}$"),
+        ("1,000 1{,}000", "$1{,}000$"),
+        ("1000 1{,}000", "$1{,}000$"),
+        ("5 % 5\\\\%", r"$5\%$"),
+        ("≈ 5 {\\\\approx} 5\\\\%", r"${\approx} 5\%$"),
+        ("α = 0.5 \\\\alpha=0.5", r"$\alpha=0.5$"),
+        ("R 2 R^{2}=2", "$R^{2}=2$"),
+        ("π 0 \\\\pi\\_{0}", r"$\pi_{0}$"),
+        ("k = 5 k=5", "$k=5$"),
+        ("t 1 t\\_{1} – 4 t_{4}", "$t_{1}$–$t_{4}$"),
+        ("t 1 , … t=1,\\\\ldots,9", r"$t=1,\ldots,9$"),
+        ("at 5 mm", r"at $5\,\mathrm{mm}$"),
+        ("about 5%.", r"about $5\%$."),
+    ]
+    frame = notes(spark, *(f"Figure 1: {raw} end $a\\\\b$" for raw, _ in rules))
+    rows = frame.select("doc_id", cleaning.caption_report(F.col("text")).alias("r")).orderBy("doc_id").select("r.*").collect()
+    assert [r.text for r in rows] == [f"Figure 1: {tex} end $a\\\\b$" for _, tex in rules]
+    assert [(r.captions, r.fixed, r.residual) for r in rows] == [(1, 1, [])] * 13
+
+
+def test_captions_report_what_stays(spark):
+    text = "# T\r\n> 图 2：x \\\\alpha y  \r\nFig. 3: 5%, 6 mm; 为5 mm\nnot \\\\alpha\n"
+    r = notes(spark, text, None).select("doc_id", cleaning.caption_report(F.col("text")).alias("r")).orderBy("doc_id").select("r.*").collect()
+    assert r[0].text == "# T\r\n> 图 2：x \\\\alpha y  \r\nFig. 3: $5\\%$, $6\\,\\mathrm{mm}$; 为5 mm\nnot \\\\alpha\n"
+    assert (r[0].captions, r[0].fixed, [tuple(x) for x in r[0].residual]) == (2, 2, [(2, "> 图 2：x \\\\alpha y")])
+    assert r[1].text is None
+
+
 def test_noise_keeps_code_and_anchors(spark):
     note = "[Menu](/m)\n# T\n[body](/keep)\n```\n[Home](/)\n```\n<script>\nx\n</script>\n[1](#s '‣ a')"
     row = cleaning.filter_web_noise(notes(spark, note)).first()
