@@ -65,7 +65,8 @@ def repair_mojibake(s: pd.Series) -> pd.Series:
 class _Tables(HTMLParser):
     """Rows of one table as cells (tag, text, rowspan, colspan), and what makes it hard to convert."""
 
-    BLOCK = frozenset(("p", "div", "ul", "ol", "li", "pre", "blockquote"))
+    BLOCK = frozenset(("article", "blockquote", "details", "div", "figure", "li", "ol", "p", "pre", "section", "ul"))
+    CODE = frozenset(("code", "script", "style"))
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -87,12 +88,16 @@ class _Tables(HTMLParser):
                 self.rows.append([])
             spans = {n: int(v) if (v := (named.get(n) or "1").strip()).isdigit() else 0 for n in ("rowspan", "colspan")}
             self.flags.update(n for n, v in spans.items() if v != 1)
+            if 0 in spans.values():
+                self.flags.add("invalid_span")
             self._cell = {"tag": tag, "text": "", **spans}
             self.rows[-1].append(self._cell)
         elif self._cell is not None and tag in self.BLOCK:
-            self.flags.add("block_tag")
+            self.flags.add(f"block_tag:{tag}")
+        elif self._cell is not None and tag in self.CODE:
+            self.flags.add(f"code_like_tag:{tag}")
         elif tag == "img":
-            self.flags.add("image")
+            self.flags.add("image" if self._cell is None else "image_in_cell")
         elif tag == "br" and self._cell is not None:
             self._cell["text"] += " "
 
@@ -174,6 +179,15 @@ _SHAPE = T.StructType(
 )
 
 
+#: Flags of what a table's source holds.
+_RAW_FLAGS = {
+    "contains_inline_math": re.compile(r"(?<!\$)\$[^$\n]+\$(?!\$)"),
+    "contains_latex_paren_delimiters": re.compile(r"\\\(|\\\)"),
+    "contains_display_math_delimiter": re.compile(r"\$\$"),
+    "contains_cases_formula": re.compile(r"\\begin\s*\{\s*cases\s*\}"),
+}
+
+
 @F.pandas_udf(_SHAPE)
 def table_structure(s: pd.Series) -> pd.DataFrame:
     def one(fragment):
@@ -181,12 +195,19 @@ def table_structure(s: pd.Series) -> pd.DataFrame:
         lengths = [sum(c["colspan"] for c in row) for row in parsed.rows]
         flags = set(parsed.flags)
         if len(set(lengths)) > 1:
-            flags.add("uneven_rows")
+            flags.add("inconsistent_column_count")
         if parsed.depth:
             flags.add("unclosed")
         if len(parsed.rows) < 2:
             flags.add("too_few_rows")
         cells = [c for row in parsed.rows for c in row]
+        if not parsed.rows:
+            flags.add("no_rows_detected")
+        if not max(lengths, default=0):
+            flags.add("no_cells_detected")
+        flags.update(n for n, p in _RAW_FLAGS.items() if p.search(fragment or ""))
+        if any("|" in c["text"] for c in cells):
+            flags.add("contains_pipe_character")
         return len(lengths), max(lengths, default=0), sum(c["tag"] == "th" for c in cells), max((len(c["text"]) for c in cells), default=0), sorted(flags), lengths
 
     return pd.DataFrame([one(x) for x in s], columns=["n_rows", "n_columns", "header_cells", "max_cell_length", "flags", "row_lengths"])

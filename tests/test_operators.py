@@ -103,6 +103,30 @@ def test_captions_report_what_stays(spark):
     assert r[1].text is None
 
 
+def test_tables_get_every_flag(spark):
+    row = lambda cell: f"<table><tr><td>a</td><td>b</td></tr><tr>{cell}<td>2</td></tr></table>"
+    cases = [
+        (row("<td>$x$</td>"), ["contains_inline_math"], "convert"),
+        (row("<td>\\(x\\)</td>"), ["contains_latex_paren_delimiters"], "convert"),
+        (row("<td>$$x$$</td>"), ["contains_display_math_delimiter"], "convert"),
+        (row("<td>\\begin {cases} x</td>"), ["contains_cases_formula"], "convert"),
+        (row("<td>x &#124; y</td>"), ["contains_pipe_character"], "convert"),
+        ("<table></table>", ["no_cells_detected", "no_rows_detected", "too_few_rows"], "review"),
+        (row("<td><code>x</code></td>"), ["code_like_tag:code"], "review"),
+        (row("<td><script>x</script></td>"), ["code_like_tag:script"], "review"),
+        (row("<td><style>x</style></td>"), ["code_like_tag:style"], "review"),
+        (row("<td><section>x</section></td>"), ["block_tag:section"], "review"),
+        (row("<td><img src='a'></td>"), ["image_in_cell"], "review"),
+        (row(""), ["inconsistent_column_count"], "review"),
+        ("<table><tr><td rowspan='2'>a</td><td>b</td></tr><tr><td>c</td></tr></table>", ["inconsistent_column_count", "rowspan"], "review"),
+        ("<table><tr><td colspan='2'>a</td></tr><tr><td>1</td><td>2</td></tr></table>", ["colspan"], "convert"),
+        (row("<td>1</td>"), [], "convert"),
+    ]
+    out = cleaning.classify_tables(cleaning.html_tables(notes(spark, *(x for x, _, _ in cases)))).orderBy("doc_id").collect()
+    assert [(r.flags, r.status) for r in out] == [(flags, status) for _, flags, status in cases]
+    assert [r.reasons for r in out] == [[x for x in flags if not x.startswith("contains_")] for _, flags, _ in cases]
+
+
 def test_noise_keeps_code_and_anchors(spark):
     note = "[Menu](/m)\n# T\n[body](/keep)\n```\n[Home](/)\n```\n<script>\nx\n</script>\n[1](#s '‣ a')"
     row = cleaning.filter_web_noise(notes(spark, note)).first()
