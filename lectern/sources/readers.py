@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import sqlite3
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -96,21 +99,35 @@ def rollout_summary(events: DataFrame) -> DataFrame:
     return per.select("path", "meta.role", "meta.parent", "context.model", "context.effort", "message", ((F.col("n") == 1) & (F.col("message") == F.col("done.last_agent_message"))).alias("consistent"))
 
 
-def flatten_layout(layouts: DataFrame, depth: int = 6) -> DataFrame:
-    """(doc_id, page, node) of JSON layout trees: every object, with the page of its place in the root list.
+_CHILDREN = ("content", "children", "para_blocks", "blocks", "lines", "spans")
 
-    Children hang under ``content``, ``children``, ``para_blocks``, ``blocks``, ``lines`` or
-    ``spans``; levels are unrolled ``depth`` times as VARIANT.
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The objects of each JSON tree, to its end and without recursion, a document at a time."""
+    for batch in batches:
+        for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            root = json.loads(text) if text is not None else None
+            left = list(enumerate(root))[::-1] if isinstance(root, list) else [(None, root)]
+            pages, nodes = [], []
+            while left:
+                page, value = left.pop()
+                if isinstance(value, list):
+                    left += [(page, v) for v in reversed(value)]
+                elif isinstance(value, dict):
+                    pages.append(page)
+                    nodes.append(json.dumps(value, ensure_ascii=False))
+                    left += [(page, value[k]) for k in reversed(_CHILDREN) if k in value]
+            yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(nodes), pa.int64()), pa.array(pages, pa.int32()), pa.array(nodes, pa.string())], names=["doc_id", "page", "node"])
+
+
+def flatten_layout(layouts: DataFrame) -> DataFrame:
+    """(doc_id, page, node) of JSON layout trees: every object at any depth, with the page of its place in the root list.
+
+    Children, an object or lists of any depth, hang under ``content``, ``children``, ``para_blocks``,
+    ``blocks``, ``lines`` or ``spans``.  The page of a root object is null.
     """
-    level = layouts.select("doc_id", F.parse_json("json").alias("v"))
-    level = level.lateralJoin(level.sparkSession.tvf.variant_explode(F.col("v").outer())).select("doc_id", F.col("pos").cast("int").alias("page"), F.col("value").alias("node"))
-    found = level
-    for _ in range(depth):
-        parts = [F.try_variant_get("node", f"$.{k}", "array<variant>") for k in ("content", "children", "para_blocks", "blocks", "lines", "spans")]
-        kids = F.flatten(F.array(*(F.coalesce(p, F.array().cast("array<variant>")) for p in parts)))
-        level = level.select("doc_id", "page", F.explode(kids).alias("node"))
-        found = found.unionByName(level)
-    return found
+    found = layouts.select(F.col("doc_id").cast("long"), "json").mapInArrow(_walk, "doc_id long, page int, node string")
+    return found.select("doc_id", "page", F.parse_json("node").alias("node"))
 
 
 def newest(files: DataFrame, by: list[str]) -> DataFrame:

@@ -205,6 +205,16 @@ def test_layout_tree_is_flattened(spark):
     assert {(r.doc_id, r.page, r.t) for r in kinds} >= {(2, 0, "d"), (2, 0, "e"), (2, 0, "f")}
 
 
+def test_layout_tree_is_walked_to_its_end(spark):
+    deep = '{"type": "x12"}'
+    for i in range(11, -1, -1):
+        deep = f'{{"type": "x{i}", "blocks": [{deep}]}}'
+    odd = '[[{"type": "a"}], [{"type": "b", "content": {"type": "c", "lines": [[{"type": "d"}], [[{"type": "e"}]]]}}]]'
+    rows = spark.createDataFrame([(1, f"[{deep}]"), (2, odd), (3, '{"type": "r", "spans": "text"}'), (4, None)], "doc_id long, json string")
+    got = {(r.doc_id, r.page, r.t) for r in readers.flatten_layout(rows).select("doc_id", "page", F.try_variant_get("node", "$.type", "string").alias("t")).collect()}
+    assert got == {(1, 0, f"x{i}") for i in range(13)} | {(2, 0, "a"), (2, 1, "b"), (2, 1, "c"), (2, 1, "d"), (2, 1, "e"), (3, None, "r")}
+
+
 def test_stream_matches_batch(spark, tmp_path):
     frame = notes(spark, "![[a]](b.png)", "x")
     frame.write.parquet(f"{tmp_path}/in")
