@@ -33,19 +33,42 @@ SHARD, BLOCK = 512, 8
 K1, B = 1.2, 0.75
 #: Score that retrieves a pair; shares of question and answer words that confirm it.
 THRESHOLD, OVERLAP = 0.5, 0.6
-GRAM, LEAST_WORDS = 3, 5
+#: Items of ``LEAST_WORDS`` or fewer than ``GRAMMED`` words must stand in the passage as they are.
+GRAM, LEAST_WORDS, GRAMMED = 3, 2, 5
+#: Scripts without spaces between words: each of their characters is a word.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 _HIT = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
 def terms_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of lower-cased runs of letters, digits and non-ASCII bytes; index of each text's first."""
+    """Hashes of lower-cased runs of letters, digits and non-ASCII bytes, and of unspaced scripts' characters; index of each text's first."""
     plain = tk.lower_ascii(buf)
     word = ((plain >= 97) & (plain <= 122)) | ((plain >= 48) & (plain <= 57)) | (plain >= 128)
     plain[~word] = 32
     starts, ends, firsts = tk.word_spans(plain, offsets)
+    cuts = _unspaced_edges(plain)
+    if len(cuts):
+        cuts = np.setdiff1d(cuts[plain[cuts] != 32], starts)
+        starts, ends = np.union1d(starts, cuts), np.union1d(ends, cuts)
+        firsts = np.searchsorted(starts, offsets)
     return tk.word_hashes(plain, starts, ends), firsts
 
 
+def _unspaced_edges(plain: np.ndarray) -> np.ndarray:
+    """Where characters of unspaced scripts begin and end, within the buffer."""
+    out = []
+    for lead, least, most, size in ((0x0F, 0xE0, 0xF0, 3), (0x07, 0xF0, 0xF8, 4)):
+        at = np.flatnonzero((plain >= least) & (plain < most))
+        at = at[at + size <= len(plain)]
+        code = (plain[at] & lead).astype(np.int64)
+        for i in range(1, size):
+            code = (code << 6) | (plain[at + i] & 0x3F)
+        at = at[np.any([(code >= a) & (code <= b) for a, b in UNSPACED], axis=0)]
+        out += [at, at + size]
+    cuts = np.unique(np.concatenate(out))
+    return cuts[cuts < len(plain)]
+
+
 def _terms(text: str) -> np.ndarray:
     raw = np.frombuffer(text.encode(), dtype=np.uint8)
     return terms_of(raw, np.array([0, len(raw)]))[0]
@@ -59,7 +82,13 @@ class Item:
     cut: int
 
     def overlaps(self, passage: np.ndarray) -> tuple[float, float]:
-        """Shares of question and answer words that trigrams of the passage cover."""
+        """Shares of question and answer words that trigrams of the passage cover; of a short item, whether it stands there whole."""
+        n = len(self.words)
+        if n < GRAMMED:
+            found = np.ones(max(0, len(passage) - n + 1), dtype=bool)
+            for i in range(n):
+                found &= passage[i : i + len(found)] == self.words[i]
+            return (1.0, 1.0) if found.any() else (0.0, 0.0)
         have = set(zip(*(passage[i : len(passage) - GRAM + 1 + i].tolist() for i in range(GRAM)), strict=True))
         covered = np.zeros(len(self.words), dtype=bool)
         for i, gram in enumerate(zip(*(self.words[j : len(self.words) - GRAM + 1 + j].tolist() for j in range(GRAM)), strict=True)):
@@ -69,12 +98,12 @@ class Item:
 
 
 def parse_item(item_id: int, text: str | None) -> Item | None:
-    """The last sentence is the answer (at least three words, at most half); None if under five words."""
+    """The last sentence is the answer (at least three words, at most half); None if under two words."""
     words = _terms(text or "")
     n = len(words)
     if n < LEAST_WORDS:
         return None
-    sentences = [s for s in re.split(r"(?<=[.?!])\s+", text.strip()) if len(_terms(s))]
+    sentences = [s for s in re.split(r"(?<=[.?!])\s+|(?<=[。？！])", text.strip()) if len(_terms(s))]
     last = len(_terms(sentences[-1])) if len(sentences) > 1 else n // 3
     return Item(item_id, words, n - min(max(last, GRAM), max(1, n // 2)))
 
@@ -102,15 +131,36 @@ class Shard:
         self.most = padded.reshape(len(held), blocks, BLOCK).max(axis=2)
 
 
-class Index:
-    def __init__(self, items: list[Item]):
+@dataclass
+class Totals:
+    """What scores need to know of all items, so that they don't depend on how these are split."""
+
+    count: int
+    vocabulary: np.ndarray
+    df: np.ndarray
+    words: int
+    longest: int
+
+    @classmethod
+    def of(cls, items: list[Item]) -> Totals:
         vocabulary, df = np.unique(np.concatenate([np.unique(i.words) for i in items]), return_counts=True)
-        idf = np.log(1 + (len(items) - df + 0.5) / (df + 0.5))
-        average = float(np.mean([len(i.words) for i in items]))
+        return cls(len(items), vocabulary, df, sum(len(i.words) for i in items), max(len(i.words) for i in items))
+
+    def plus(self, other: Totals) -> Totals:
+        vocabulary, at = np.unique(np.concatenate([self.vocabulary, other.vocabulary]), return_inverse=True)
+        df = np.bincount(at, np.concatenate([self.df, other.df])).astype(np.int64)
+        return Totals(self.count + other.count, vocabulary, df, self.words + other.words, max(self.longest, other.longest))
+
+
+class Index:
+    def __init__(self, items: list[Item], totals: Totals | None = None):
+        totals = totals or Totals.of(items)
+        idf = np.log(1 + (totals.count - totals.df + 0.5) / (totals.df + 0.5))
+        average = totals.words / totals.count
         items = sorted(items, key=lambda i: (i.words.min(), i.item_id))
-        self.shards = [Shard(items[i : i + SHARD], vocabulary, idf, average) for i in range(0, len(items), SHARD)]
+        self.shards = [Shard(items[i : i + SHARD], totals.vocabulary, idf, average) for i in range(0, len(items), SHARD)]
         #: Half a passage: at least the longest item.
-        self.half = max(32, max(len(i.words) for i in items))
+        self.half = max(32, totals.longest)
 
     def hits(self, words: np.ndarray, firsts: np.ndarray) -> Iterator[tuple[int, Item, float, int, int]]:
         """(text, item, score, from, to) of every passage and item at or above the threshold."""
@@ -204,18 +254,26 @@ def _indexes(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterato
     bound_batches(benchmark.sparkSession)
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("text IS NOT NULL")
     parts = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"] // PART + 1
-    for part in range(parts):
+
+    def parsed(part: int) -> list[Item]:
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
-        parsed = [i for i in (parse_item(r["item_id"], r["text"]) for r in sorted(rows, key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"]))) if i]
-        if parsed:
-            yield Index(parsed)
+        return [i for i in (parse_item(r["item_id"], r["text"]) for r in sorted(rows, key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"]))) if i]
+
+    totals = None
+    if parts > 1:
+        for found in map(parsed, range(parts)):
+            if found:
+                totals = totals.plus(Totals.of(found)) if totals else Totals.of(found)
+    for part in range(parts):
+        if found := parsed(part):
+            yield Index(found, totals)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): verified leaks, best passage of each.
 
-    Whole texts are searched.  Items with fewer than five words, or null, can't be told from
-    chance and take no part; equal items are each reported.  Null or wordless documents never
+    Whole texts are searched.  Items of two to four words must occur as they are.  Items of one
+    word, or null, can't be told from chance and take no part; equal items are each reported.  Null or wordless documents never
     match; rows repeated in ``docs`` give repeated results, and rows with a null doc_id are
     reported with null.  Other columns are ignored; empty tables give an empty result.
     """

@@ -253,6 +253,25 @@ def test_leaks_of_odd_rows(spark, monkeypatch):
     assert decontaminate.contaminated(docs.where("false"), bench).count() == 0
 
 
+def test_leaks_of_short_and_unspaced_items(spark):
+    chinese, thai = "卢里塔尼亚王国的首都叫什么名字？它当然是河边的斯特雷尔绍。", "เมืองหลวงของรูริทาเนียคือสเตรลเซา"
+    bench = spark.createDataFrame([(1, chinese), (2, "Capital of Ruritania"), (3, thai), (4, "卢里")], "item_id long, text string")
+    texts = ["前文很长。" * 50 + chinese + "后文也很长。" * 50, "the CAPITAL\nof Ruritania, again", "Ruritania capital of", "x" + thai, "卢里塔尼亚王国在哪里", "前文很长。" * 50]
+    docs = docs_of(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)])
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(0, 1), (0, 4), (1, 2), (3, 3), (4, 4)}
+
+
+def test_scores_do_not_depend_on_parts(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    items = [(i, " ".join(f"w{x}" for x in rng.integers(0, 60, rng.integers(15, 40)))) for i in range(40)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = docs_of(spark, [(i, " ".join(t.split()[1:]), None, None, 0) for i, t in items])
+    once = {(r.doc_id, r.item_id, round(r.score, 5)) for r in decontaminate.contaminated(docs, bench).collect()}
+    monkeypatch.setattr(decontaminate, "PART", 1000)
+    assert once and {(r.doc_id, r.item_id, round(r.score, 5)) for r in decontaminate.contaminated(docs, bench).collect()} == once
+
+
 def test_block_bounds_are_never_below_scores():
     rng = np.random.default_rng(4)
     words = rng.integers(0, 400, (40, 30)).astype(np.uint64)
