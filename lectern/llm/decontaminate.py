@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import textkit as tk
-from lectern.llm.scratch import bound_batches
+from lectern.llm.scratch import prepare
 
 PART = 4 << 20
 SHARD, BLOCK = 512, 8
@@ -251,7 +251,7 @@ def _drop_mapper(index: Index, text: int):
 
 def _indexes(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator[Index]:
     """The benchmark's index in parts, each built from items of about ``PART`` bytes."""
-    bound_batches(benchmark.sparkSession)
+    prepare(benchmark.sparkSession)
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("text IS NOT NULL")
     parts = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"] // PART + 1
 

@@ -17,7 +17,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm import textkit as tk
 from lectern.llm.anchors import LAST, Unit, covered, keyed, repeats
 
 
@@ -99,17 +98,18 @@ def _solver(length: int):
         table = table.combine_chunks()
         lo, n = table.column("lo").to_numpy().astype(np.int64), table.column("n").to_numpy().astype(np.int64)
         doc, tag = table.column("doc").to_numpy(), table.column("tag").to_numpy()
-        raw, offsets = tk.column_bytes(table.column("body"))
-        # Stage 1: the index over all records, each closed by symbol 0.
-        starts, ends, firsts = tk.word_spans(raw, offsets)
-        words = np.unique(tk.word_hashes(raw, starts, ends), return_inverse=True)[1] + 1
+        # Stage 1: the index over all records, each closed by symbol 0; words are told apart by their bytes.
+        bodies, symbols = [body.as_py().split() for body in table.column("body")], {}
+        words = np.array([symbols.setdefault(w, len(symbols) + 1) for body in bodies for w in body], dtype=np.int64)
+        firsts = np.cumsum([0, *map(len, bodies)])
         record = np.repeat(np.arange(len(n)), np.diff(firsts))
         text = np.zeros(len(words) + len(n), dtype=np.int64)
         text[np.arange(len(words)) + record] = words
         base = firsts[:-1] + np.arange(len(n))
         owner = np.repeat(np.arange(len(n)), np.diff(firsts) + 1)
-        index = FMIndex(text, int(words.max(initial=0)) + 1, length)
+        index = FMIndex(text, len(symbols) + 1, length)
         docs_by_suffix = doc[owner[index.order]]
+        del index.order
         # Stage 2: stream the records' windows.
         of = np.repeat(np.arange(len(n)), n)
         inside = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
@@ -166,8 +166,7 @@ def remove_repeated_words(docs: DataFrame, length: int = 13, id_col: str = "doc_
     are ignored; an empty table gives an empty result.
     """
     unit = Unit(words=True, length=length, k=max(1, length // 3), within=False)
-    found = repeats(docs, unit, _solver(length), id_col, text_col)
-    joined = keyed(docs, id_col, text_col).join(found, ["doc", "tag"], "left")
+    joined = repeats(keyed(docs, id_col, text_col), unit, _solver(length))
     return joined.select("doc", "tag", "text", "spans").mapInArrow(_remover(length), "doc long, tag long, n_words long, starts array<int>, ends array<int>, kept binary")
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import textkit as tk
-from lectern.llm.scratch import bound_batches
+from lectern.llm.scratch import prepare
 
 DIM = 4096
 UNKNOWN = "und"
@@ -99,7 +99,7 @@ def train(labelled: DataFrame, per_language: int = 300, clusters: int = 4, id_co
 
     Null languages, null texts and texts without a letter teach nothing.
     """
-    bound_batches(labelled.sparkSession)
+    prepare(labelled.sparkSession)
     usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike("\\p{L}"))
     # The rank's limit is applied before each shuffle: first in 64 parts of a language, then in all of it.
     draw = F.xxhash64(id_col)

@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from lectern.llm import textkit as tk
 from lectern.llm.components import connected_components
-from lectern.llm.scratch import bound_batches, materialize
+from lectern.llm.scratch import Tables, materialize, prepare
+from lectern.llm.skew import spread_join, weigh
 
 BANDS, ROWS, BITS = 32, 4, 2
 #: Six standard deviations of the estimate at similarity 0.8 and 128 values.
@@ -141,10 +142,12 @@ def _one_set(text: bytes, k: int) -> np.ndarray:
     return _shingle_sets(np.frombuffer(text.lower(), dtype=np.uint8), np.array([0, len(text)]), k)[0]
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def _confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int, tables: Tables) -> DataFrame:
     """The pairs (u, v) whose full shingle sets are similar enough.  v is the side with hot values."""
+    held = tables.write(weigh(pairs, "v"), "held")
     left = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("u_text")), "u")
-    both = left.join(texts.select(F.col("id").alias("v"), F.col("text").alias("v_text")), "v")
+    right = texts.select(F.col("id").alias("v"), F.col("text").alias("v_text")).join(held.select("v"), "v", "left_semi")
+    both = spread_join(left, right, held, "v", "u")
     return both.select("u", "v", "v_text", "u_text").mapInArrow(_confirm_mapper(k, percent), "u long, v long")
 
 
@@ -161,21 +164,23 @@ def _token_mapper(k: int):
     return run
 
 
-def _prefix_pairs(nodes: DataFrame, texts: DataFrame, reps: DataFrame, k: int, percent: int, least: float) -> DataFrame:
+def _prefix_pairs(nodes: DataFrame, texts: DataFrame, reps: DataFrame, k: int, percent: int, least: float, tables: Tables) -> DataFrame:
     """Pairs (u, v) of nodes in different components whose rarest shingles meet."""
     planes = [f"s{i}" for i in range(_PLANES)]
     whole = nodes.join(texts.withColumnRenamed("id", "node"), "node").select("node", "component", "text")
-    sets = materialize(whole.mapInArrow(_token_mapper(k), "node long, component long, tokens array<long>"), "open-sets")
+    sets = tables.write(whole.mapInArrow(_token_mapper(k), "node long, component long, tokens array<long>"), "open-sets")
     tokens = sets.select("node", "component", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    common = tokens.join(common, "token")
+    common = tables.write(weigh(tokens, "token").where("weight > 1"), "common")
+    shared = spread_join(tokens, common.withColumnRenamed("weight", "held"), common, "token", "node")
     by_node = Window.partitionBy("node", "component", "n")
     own = F.col("n") - F.count(F.lit(1)).over(by_node)
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9) + 1
-    ranked = common.select("*", own.alias("own"), prefix.alias("prefix"), F.row_number().over(by_node.orderBy("held", "token")).alias("rank"))
-    rows = materialize(ranked.where("rank + own <= prefix").select("token", "node", "component", "n", (F.col("n") - F.col("own") - F.col("rank") + 1).alias("left")), "prefixes")
-    mixed = rows.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
-    rows = rows.join(mixed, "token", "left_semi").join(reps.select("node", *planes), "node")
+    ranked = shared.select("*", own.alias("own"), prefix.alias("prefix"), F.row_number().over(by_node.orderBy("held", "token")).alias("rank"))
+    rows = tables.write(ranked.where("rank + own <= prefix").select("token", "node", "component", "n", (F.col("n") - F.col("own") - F.col("rank") + 1).alias("left")), "prefixes")
+    tables.drop(sets, common)
+    mixed = rows.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("weight")).where("x <> y").select("token", "weight")
+    mixed = tables.write(mixed, "mixed-tokens")
+    rows = spread_join(rows, mixed.select("token"), mixed, "token", "node").join(reps.select("node", *planes), "node")
     a = rows.select(F.col("token").alias("t"), F.col("node").alias("u"), F.col("component").alias("cu"), F.col("n").alias("nu"), F.col("left").alias("mu"), *(F.col(p).alias(f"a{i}") for i, p in enumerate(planes)))
     b = rows.select("token", F.col("node").alias("v"), F.col("component").alias("cv"), F.col("n").alias("nv"), F.col("left").alias("mv"), *(F.col(p).alias(f"b{i}") for i, p in enumerate(planes)))
     # Similar sets share at least t / (1 + t) of their sizes' sum, and at their first common shingle
@@ -186,7 +191,7 @@ def _prefix_pairs(nodes: DataFrame, texts: DataFrame, reps: DataFrame, k: int, p
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row's (doc_id, n_shingles, component_id, kept).
+    """Every row's (doc_id, n_shingles, component_id, kept), as a written table.
 
     Two documents are linked if 100 * |A & B| >= percent * |A | B| for their sets of lower-cased
     (A-Z) word shingles.  component_id is the least doc_id reachable by links, the document's own
@@ -198,42 +203,56 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     and never stands for a component unless all of them are null.  Other columns are ignored.
     An empty table gives an empty result.
     """
-    bound_batches(docs.sparkSession)
-    sig = materialize(signatures(docs, shingle, id_col, text_col), "minhash")
+    prepare(docs.sparkSession)
+    with Tables(docs.sparkSession) as tables:
+        return materialize(_components(docs, shingle, percent, id_col, text_col, tables), "near-duplicates")
+
+
+def _components(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str, tables: Tables) -> DataFrame:
+    sig = tables.write(signatures(docs, shingle, id_col, text_col), "minhash")
     classes = sig.where("n_shingles > 0").groupBy("set_hash").agg(F.min("id").alias("node")).where("node IS NOT NULL")
-    classes = materialize(classes, "classes")
+    classes = tables.write(classes, "classes")
     planes = [f"s{i}" for i in range(_PLANES)]
     reps = sig.join(classes, (sig.id == classes.node) & (sig.set_hash == classes.set_hash), "left_semi").dropDuplicates(["id", "set_hash"])
-    reps = materialize(reps.select(F.col("id").alias("node"), "bands", *planes), "representatives")
+    reps = tables.write(reps.select(F.col("id").alias("node"), "bands", *planes), "representatives")
+    slim = tables.write(sig.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_hash")).alias("set_hash")), "sizes")
+    tables.drop(sig)
 
     banded = reps.select("node", F.explode("bands").alias("bucket"))
-    sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = materialize(banded.join(sizes, "bucket"), "buckets")
+    sizes = tables.write(weigh(banded, "bucket").where("weight > 1"), "bucket-sizes")
+    shared = tables.write(spread_join(banded, sizes.withColumnRenamed("weight", "size"), sizes, "bucket", "node"), "buckets")
     central = shared.groupBy("node").agg(F.sum("size").alias("weight"))
-    placed = shared.select("bucket", "node").join(central, "node")
+    placed = tables.write(shared.select("bucket", "node").join(central, "node"), "placed")
     hubs = placed.groupBy("bucket").agg(F.min(F.struct((-F.col("weight")).alias("w"), "node")).alias("hub"))
-    best = placed.select("bucket", "node").join(hubs, "bucket").groupBy(F.col("node").alias("u")).agg(F.min("hub").alias("hub"))
-    stars = best.select("u", F.col("hub.node").alias("v")).where("u <> v")
+    best = spread_join(placed.select("bucket", "node"), hubs, sizes, "bucket", "node").groupBy(F.col("node").alias("u")).agg(F.min("hub").alias("hub"))
+    stars = tables.write(best.select("u", F.col("hub.node").alias("v")).where("u <> v"), "hubs")
+    tables.drop(placed)
 
     bits_u = reps.select(F.col("node").alias("u"), *(F.col(p).alias(f"a{i}") for i, p in enumerate(planes)))
     bits_v = reps.select(F.col("node").alias("v"), *(F.col(p).alias(f"b{i}") for i, p in enumerate(planes)))
     least = percent / 100 - SLACK
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    stars = stars.join(bits_u, "u").join(bits_v, "v").where(estimate("a", "b") >= least).select("u", "v")
-    stars = materialize(_confirm(stars, texts, shingle, percent).distinct(), "stars")
-    first = connected_components(stars)
+    held = tables.write(weigh(stars, "v"), "held")
+    stars = spread_join(stars.join(bits_u, "u"), bits_v, held, "v", "u").where(estimate("a", "b") >= least).select("u", "v")
+    stars = tables.write(stars, "likely")
+    stars = tables.write(_confirm(stars, texts, shingle, percent, tables).distinct(), "stars")
+    first = connected_components(stars, keep=tables)
 
     spread = shared.select("bucket", "node").join(first, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    spread = tables.write(spread, "spread")
+    tables.drop(shared)
     mixed = spread.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    open_nodes = spread.join(mixed, "bucket", "left_semi").select("node", "component").distinct()
-    crossing = _prefix_pairs(open_nodes, texts, reps, shingle, percent, least)
-    links = materialize(_confirm(crossing, texts, shingle, percent).distinct(), "links")
+    open_nodes = tables.write(spread_join(spread, mixed, sizes, "bucket", "node").select("node", "component").distinct(), "open")
+    tables.drop(spread)
+    crossing = tables.write(_prefix_pairs(open_nodes, texts, reps, shingle, percent, least, tables), "crossing")
+    links = tables.write(_confirm(crossing, texts, shingle, percent, tables).distinct(), "links")
     comp = first.select(F.col("node").alias("n"), "component")
     joined = links.join(comp.withColumnRenamed("n", "u").withColumnRenamed("component", "cu"), "u", "left").join(comp.withColumnRenamed("n", "v").withColumnRenamed("component", "cv"), "v", "left")
-    second = connected_components(joined.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")))
+    second = connected_components(joined.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")), keep=tables)
 
     node = classes.join(first, "node", "left").select("set_hash", F.coalesce("component", "node").alias("mid"))
     final = node.join(second.withColumnRenamed("node", "mid").withColumnRenamed("component", "top"), "mid", "left").select("set_hash", F.coalesce("top", "mid").alias("component_id"))
-    out = sig.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_hash")).alias("set_hash")).join(final, "set_hash", "left")
+    members = tables.write(weigh(slim.where("set_hash IS NOT NULL"), "set_hash"), "members")
+    out = spread_join(slim, final, members, "set_hash", "id", "left")
     out = out.select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import decontaminate, langid, minhash, mixing, suffixes
-from lectern.llm.scratch import materialize
+from lectern.llm.scratch import Tables, materialize
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,10 @@ STAGES = [
 
 
 def run_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; a stage's table goes once the next one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
-    return docs
+    with Tables(spark) as tables:
+        for name, stage in STAGES[:-1]:
+            docs = tables.write(stage(spark, docs, sf_dir), f"stage-{name}")
+        name, stage = STAGES[-1]
+        return materialize(stage(spark, docs, sf_dir), f"stage-{name}")

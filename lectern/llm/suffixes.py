@@ -74,6 +74,14 @@ class BlindTrie:
                 yield node[1]
 
 
+def _deep(data: bytes, group: list[int], length: int) -> Iterator[np.ndarray]:
+    """A group with a common shallow prefix, by a blind trie."""
+    trie = BlindTrie(data, length)
+    for p in group:
+        trie.insert(p)
+    return (np.array(g) for g in trie.groups())
+
+
 def equal_groups(data: bytes, at: np.ndarray, length: int) -> Iterator[np.ndarray]:
     """Suffix positions in sorted order, grouped by equality of their first ``length`` bytes."""
     shallow = min(SHALLOW, length // 8 * 8)
@@ -87,18 +95,19 @@ def equal_groups(data: bytes, at: np.ndarray, length: int) -> Iterator[np.ndarra
         group, depth = stack.pop()
         if len(group) == 1:
             yield group
+        elif depth >= shallow:
+            yield from _deep(data, group.tolist(), length)
         elif len(group) <= _SMALL:
-            sorted_ = sorted((data[p : p + length], p) for p in group.tolist())
+            # A small group is finished at once down to the shallow depth.
+            sorted_ = sorted((data[p : p + shallow], p) for p in group.tolist())
             first = 0
             for i in range(1, len(sorted_) + 1):
                 if i == len(sorted_) or sorted_[i][0] != sorted_[first][0]:
-                    yield np.array([p for _, p in sorted_[first:i]])
+                    if i == first + 1:
+                        yield np.array([sorted_[first][1]])
+                    else:
+                        yield from _deep(data, [p for _, p in sorted_[first:i]], length)
                     first = i
-        elif depth >= shallow:
-            trie = BlindTrie(data, length)
-            for p in group.tolist():
-                trie.insert(p)
-            yield from (np.array(g) for g in trie.groups())
         else:
             c = wide[group + depth]
             some = np.sort(c[:: max(1, len(c) // 101)])
@@ -187,8 +196,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 100, id_col: str = "doc
     gives an empty result.
     """
     unit = Unit(words=False, length=length, k=max(1, length // 4), within=True)
-    found = repeats(docs, unit, _solver(length), id_col, text_col)
-    joined = keyed(docs, id_col, text_col, carry).join(found, ["doc", "tag"], "left")
+    joined = repeats(keyed(docs, id_col, text_col, carry), unit, _solver(length))
     more = ["carried", "had_text"] if carry else []
     schema = "doc long, tag long, n_bytes long, starts array<int>, ends array<int>, kept binary, kept_text string"
     if carry:

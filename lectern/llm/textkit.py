@@ -1,11 +1,16 @@
 """Vectorised hashing of byte and word sequences for Arrow batches (NumPy only).
 
 All hashes are 64-bit functions of content alone: the same bytes give the same value in
-every process, batch and position.
+every process, batch and position.  ``Spans`` is a polynomial modulo 2^64, which long sequences
+of a certain structure can defeat: it serves for sequences of few symbols and for choosing
+anchors, where a collision costs time only.  Words and record contents are told apart by their
+bytes or by BLAKE2b.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -117,7 +122,32 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return Spans(BYTE_CODE[buf]).hash(starts, ends) | _U(1)
+    """A value for each word: one to one for words of up to seven bytes, else 64 bits of BLAKE2b."""
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    padded = np.concatenate([buf, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray(len(buf), dtype="<u8", buffer=padded, strides=(1,))
+    size = ends - starts
+    short = np.minimum(size, 7).astype(np.uint64)
+    out = mix((eight[starts] & ((_U(1) << (short * _U(8))) - _U(1))) | (short << _U(56)))
+    data, known = buf.tobytes(), {}
+    for i in np.flatnonzero(size > 7).tolist():
+        word = data[starts[i] : ends[i]]
+        value = known.get(word)
+        if value is None:
+            value = known[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        out[i] = value
+    return out
+
+
+def joined_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words with one blank after each, and where each starts and ends there."""
+    size = ends - starts + 1
+    stop = np.cumsum(size)
+    first = stop - size
+    out = np.append(buf, np.uint8(32))[np.repeat(starts - first, size) + np.arange(int(stop[-1]) if len(stop) else 0)]
+    out[stop - 1] = 32
+    return out.tobytes(), first, stop - 1
 
 
 def sliding_min(v: np.ndarray, w: int) -> np.ndarray:

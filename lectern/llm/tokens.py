@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import textkit as tk
-from lectern.llm.scratch import bound_batches, new_path
+from lectern.llm.scratch import new_path, prepare
 
 #: Fixed value: the pre-token pattern published with the byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -88,7 +88,7 @@ class Ledger:
 
     def __init__(self, spark: SparkSession, tokenizers: tuple[Tokenizer, ...], path: str | None = None):
         self.spark, self.tokenizers = spark, tokenizers
-        bound_batches(spark)
+        prepare(spark)
         self.path = path or new_path(spark, "ledger")
 
     def _hadoop(self, path: str):

@@ -21,7 +21,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.scratch import bound_batches, materialize, new_path
+from lectern.llm.scratch import materialize, new_path, prepare
 
 SLOT, GAP, ROTATE = 8 << 20, 64 << 10, 256 << 20
 #: Fixed values of the WARC format.
@@ -125,7 +125,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_revisit_byte
     table writes no archive.
     """
     spark = pages.sparkSession
-    bound_batches(spark)
+    prepare(spark)
     if folder is None:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(new_path(spark, "warc"))
         target = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lectern.llm import anchors, components, fmindex, minhash, suffixes
+from lectern.llm import textkit as tk
 from tests.llm import brute
 
 DOCS = "doc_id long, text string, tag string, node long, kept boolean"
@@ -104,6 +105,51 @@ def test_repeated_bytes_of_the_table(spark, sf):
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out), key=repr) == brute.repeated_bytes(rows, 100)
 
 
+def thue_morse(n, flip):
+    return "".join("ab"[(i.bit_count() + flip) % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("letters", [8, 64, 1024, 4096])
+def test_words_that_defeat_a_power_of_two_modulus_stay_apart(spark, letters):
+    tail = " ".join(f"t{i}" for i in range(12))
+    rows = [(1, thue_morse(letters, 0)), (2, thue_morse(letters, 1)), (3, thue_morse(letters, 0) + " " + tail), (4, thue_morse(letters, 1) + " " + tail), (5, "a\0" * 3), (6, "a\0" * 3 + "\0")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame(spark, rows), 3, 85).collect()}
+    assert got == brute.near_duplicates(rows, 3, 85)
+    assert removed_words(spark, rows) == brute.repeated_words(rows, 13)
+    assert removed_bytes(spark, rows) == brute.repeated_bytes(rows, 100)
+
+
+def test_word_sequences_that_defeat_a_power_of_two_modulus_stay_apart(spark):
+    rows = [(i, " ".join(thue_morse(2048, i % 2))) for i in range(4)]
+    assert removed_words(spark, rows) == brute.repeated_words(rows, 13)
+
+
+@pytest.mark.parametrize("words", [True, False])
+def test_frequent_keys_are_dealt_by_content(spark, monkeypatch, words):
+    monkeypatch.setattr(anchors, "SAMPLED", 2)
+    for module in (suffixes, fmindex):
+        monkeypatch.setattr(module, "Unit", lambda **k: anchors.Unit(**k, hot_key=10))
+    rng = random.Random(7)
+    line = " ".join(f"licence{i}" for i in range(16))
+    rows = [(i, " ".join([*(f"w{rng.randrange(9**9)}" for _ in range(20)), line, *(f"w{rng.randrange(9**9)}" for _ in range(20))])) for i in range(120)]
+    if words:
+        assert removed_words(spark, rows) == brute.repeated_words(rows, 13)
+    else:
+        assert len(anchors._frequent(anchors.keyed(frame(spark, rows), "doc_id", "text"), anchors.Unit(words=False, length=100, k=25, within=True, hot_key=10))) > 0
+        assert removed_bytes(spark, rows) == brute.repeated_bytes(rows, 100)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.binary(min_size=1, max_size=20).filter(lambda w: not set(w) & set(b" \t\n\v\f\r")), max_size=30))
+def test_word_values_are_those_of_the_bytes(words):
+    buf = np.frombuffer(b" ".join(words), dtype=np.uint8)
+    starts, ends, _ = tk.word_spans(buf, np.array([0, len(buf)]))
+    values = tk.word_hashes(buf, starts, ends).tolist()
+    assert len(values) == len(words) and len(set(zip(words, values, strict=True))) == len(set(words)) == len(set(values))
+    data, a, b = tk.joined_words(buf, starts, ends)
+    assert [data[x:y] for x, y in zip(a, b, strict=True)] == words
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.binary(min_size=1, max_size=300).map(lambda b: bytes(x % 3 + 97 for x in b)), st.integers(1, 60))
 def test_sorted_groups_match_plain_sorting(data, length):
