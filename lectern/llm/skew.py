@@ -15,16 +15,17 @@ def spread_join(left: DataFrame, right: DataFrame, weights: DataFrame, key: str,
     """``left`` joined with ``right``, which has one row per key; hot keys of ``left`` are dealt to ``PARTS`` tasks.
 
     ``weights`` (key, weight) is a written table with the left rows of each key.  The hot keys, at
-    most ``SHARES`` of them, are broadcast; their rows on the right are repeated for every part.
-    ``by`` is a column of ``left`` that spreads the rows of one key.  ``how`` is inner, left or left_semi.
+    most ``SHARES`` of them, are named in the plan; their rows on the right are repeated for every
+    part.  ``by`` is a column of ``left`` that spreads the rows of one key.  ``how`` is inner, left or left_semi.
     """
     total = weights.agg(F.sum("weight").alias("n")).first()["n"] or 0
-    hot = weights.where(F.col("weight") > total // SHARES + 1).select(F.col(key).alias("_hot"))
-    dealt = left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
-    dealt = dealt.withColumn("_part", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(by), F.lit(PARTS))).otherwise(0)).drop("_hot")
-    copies = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
-    repeated = right.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_part", F.explode(copies)).drop("_hot")
-    return dealt.join(repeated, [key, "_part"], how).drop("_part")
+    hot = [r[0] for r in weights.where(F.col("weight") > total // SHARES + 1).select(key).limit(SHARES).collect()]
+    if not hot:
+        return left.join(right, key, how)
+    is_hot = F.col(key).isin(hot)
+    dealt = left.withColumn("_part", F.when(is_hot, F.pmod(F.xxhash64(by), F.lit(PARTS))).otherwise(0))
+    parts = F.when(is_hot, F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    return dealt.join(right.withColumn("_part", F.explode(parts)), [key, "_part"], how).drop("_part")
 
 
 def weigh(rows: DataFrame, key: str) -> DataFrame:
