@@ -21,9 +21,12 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.scratch import materialize, new_path, prepare
+from lectern.llm.scratch import Tables, materialize, new_path, prepare, shuffle_partitions
+from lectern.llm.skew import spread_join
 
-SLOT, GAP, ROTATE = 8 << 20, 64 << 10, 256 << 20
+SLOT, GAP, ROTATE = 4 << 20, 64 << 10, 256 << 20
+#: Compressed bytes that one reading task is given.
+READ = 64 << 20
 #: Fixed values of the WARC format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
@@ -32,8 +35,9 @@ _INDEX = "page_id long, url string, digest string, payload_bytes long, record_ty
 _RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
-def _record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'page:{page_id}')}>"
+def _record_id(page_id: int | None, url: str | None = None, digest: str = "") -> str:
+    """Of a response a page alone tells, so that revisits can name it; what shares a page_id or has none is told apart by more."""
+    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'page:{page_id}:{digest}' if url is None else f'page:{page_id}:{digest}:{url}')}>"
 
 
 def encode_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> tuple[bytes, str]:
@@ -45,14 +49,14 @@ def encode_record(page_id: int | None, url: str | None, payload: bytes, refers_t
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {_record_id(page_id)}",
+        f"WARC-Record-ID: {_record_id(page_id, (url or '') if revisit or page_id is None else None, digest)}",
         f"WARC-Target-URI: {target}",
         f"WARC-Date: {DATE}",
         "Content-Type: application/http; msgtype=response",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"Content-Length: {len(block)}",
         *([] if page_id is None else [f"X-Page-ID: {page_id}"]),
-        *([f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_record_id(refers_to)}", f"X-Refers-To-Page-ID: {refers_to}"] if revisit else []),
+        *([f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_record_id(refers_to, None, digest)}", f"X-Refers-To-Page-ID: {refers_to}"] if revisit else []),
     ]
     squeeze = zlib.compressobj(4, zlib.DEFLATED, 31)
     return squeeze.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + squeeze.flush(), digest
@@ -121,7 +125,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_revisit_byte
     least ``min_revisit_bytes`` bytes those with the smallest page_id are responses and the
     others revisits of it; smaller payloads are all responses.  Rows that repeat the smallest
     page_id are all responses.  A null page_id is never the smallest unless all are null, and
-    then all are responses.  A null URL is written as empty.  Other columns are ignored; an empty
+    then all are responses.  A record's id is made of page_id and payload digest (and URL, for revisits
+    and null page_ids), so only records alike in all of these share one.  A null URL is written as empty.  Other columns are ignored; an empty
     table writes no archive.
     """
     spark = pages.sparkSession
@@ -134,12 +139,19 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_revisit_byte
         folder = folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") and not folder.startswith("file://") else folder
     payload = F.coalesce(F.col(html_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("sum", F.sha1("payload"))
-    least = rows.where(F.octet_length("payload") >= min_revisit_bytes).groupBy("sum").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 AND refers_to IS NOT NULL")
-    joined = rows.join(least.select("sum", "refers_to"), "sum", "left")
-    revisit = F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
-    index = joined.select("page_id", "url", "payload", "refers_to", revisit.alias("revisit")).mapInArrow(_writer(folder), _INDEX)
-    return materialize(index, "warc-index"), folder
+    rows = rows.withColumn("sum", F.unhex(F.sha1("payload")))
+    # Digests are compared without their payloads, and those of a frequent payload by several tasks;
+    # a payload then moves once, by page and digest.
+    keys = rows.where(F.octet_length("payload") >= min_revisit_bytes).groupBy("page_id", "sum").agg(F.count(F.lit(1)).alias("rows"))
+    with Tables(spark) as tables:
+        keys = tables.write(keys, "warc-keys")
+        least = keys.groupBy("sum").agg(F.min("page_id").alias("refers_to"), F.sum("rows").alias("n"), F.count(F.lit(1)).alias("weight"))
+        least = tables.write(least.where("n > 1 AND refers_to IS NOT NULL"), "warc-least")
+        again = spread_join(keys.select("page_id", "sum"), least.select("sum", "refers_to"), least.select("sum", "weight"), "sum", "page_id")
+        again = again.where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select(F.col("page_id").alias("again_id"), F.col("sum").alias("again_sum"), "refers_to")
+        joined = rows.join(again, rows["page_id"].eqNullSafe(again["again_id"]) & (rows["sum"] == again["again_sum"]), "left")
+        index = joined.select("page_id", "url", "payload", "refers_to", F.col("refers_to").isNotNull().alias("revisit")).mapInArrow(_writer(folder), _INDEX)
+        return materialize(index, "warc-index"), folder
 
 
 def _reader(folder: str):
@@ -178,5 +190,9 @@ def read_records(index: DataFrame, folder: str, where: Column | None = None) ->
     those of the full payload; its payload is null, to be had from the record it refers to.
     """
     chosen = index if where is None else index.where(where)
-    ranges = chosen.groupBy("archive", F.floor(F.col("offset") / SLOT).alias("slot")).agg(F.collect_list(F.struct("offset", "length")).alias("wanted"))
+    # An index row stands for many bytes, so tasks are dealt by what is to be read and not by the rows' own size.
+    size = chosen.agg(F.sum("length").alias("n")).first()["n"] or 0
+    tasks = max(1, -(-size // READ), min(shuffle_partitions(index.sparkSession), -(-size // (READ >> 4))))
+    slots = chosen.select("archive", F.floor(F.col("offset") / SLOT).alias("slot"), "offset", "length").repartition(tasks, "archive", "slot")
+    ranges = slots.groupBy("archive", "slot").agg(F.collect_list(F.struct("offset", "length")).alias("wanted"))
     return ranges.select("archive", "wanted").mapInArrow(_reader(folder), _RECORD)
