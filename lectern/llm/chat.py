@@ -32,7 +32,8 @@ def maximal_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     Turns go by turn number (null last), then role and text; repeated turns stay and count.  A
     conversation goes if another has all its turns as its first ones and more, or has the same
     turns and a smaller conv_id.  Null roles and texts differ from empty ones when compared and
-    are rendered as empty; markers inside texts are spaced out.  Turns with a null conv_id make up
+    are rendered as empty; markers inside texts and roles are spaced out, and a line break in a
+    role becomes a blank.  Turns with a null conv_id make up
     one conversation, which ranks after equal ones that have an id.  Other columns are ignored; an
     empty table gives an empty result.
     """
@@ -47,7 +48,7 @@ def maximal_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     prefixes = hashed.where("pos < n_turns").select("pos", "a", "b").distinct()
     finals = hashed.where("pos = n_turns").groupBy("pos", "a", "b").agg(F.min("conv_id").alias("conv_id"))
     kept = finals.join(prefixes, ["pos", "a", "b"], "left_anti").select(F.col("conv_id").alias("kept_id"))
-    rendered = F.concat(F.lit(OPEN), F.coalesce("role", F.lit("")), F.lit("\n"), _escaped(F.col("text")), F.lit(CLOSE + "\n"))
+    rendered = F.concat(F.lit(OPEN), _escaped(F.replace(F.col("role"), F.lit("\n"), F.lit(" "))), F.lit("\n"), _escaped(F.col("text")), F.lit(CLOSE + "\n"))
     lines = placed.join(kept, placed.conv_id.eqNullSafe(kept.kept_id), "left_semi").select("conv_id", "pos", rendered.alias("line"))
     grouped = lines.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("lines"))
     return grouped.select("conv_id", "n_turns", F.array_join(F.transform("lines", lambda x: x["line"]), "").alias("rendered"))
@@ -61,6 +62,6 @@ p AS (SELECT conv_id, pos, count(*) OVER (PARTITION BY conv_id) AS n,
 final AS (SELECT prefix, n, min(conv_id) AS conv_id FROM p WHERE pos = n GROUP BY prefix, n),
 kept AS (SELECT conv_id FROM final f WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.pos < p.n AND p.pos = f.n AND p.prefix = f.prefix))
 SELECT t.conv_id, count(*) AS n_turns,
-       string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || replace(replace(coalesce(text, ''), '<|im_start|>', '<| im_start |>'), '<|im_end|>', '<| im_end |>') || '<|im_end|>' || chr(10), '' ORDER BY pos) AS rendered
+       string_agg('<|im_start|>' || replace(replace(replace(coalesce(role, ''), chr(10), ' '), '<|im_start|>', '<| im_start |>'), '<|im_end|>', '<| im_end |>') || chr(10) || replace(replace(coalesce(text, ''), '<|im_start|>', '<| im_start |>'), '<|im_end|>', '<| im_end |>') || '<|im_end|>' || chr(10), '' ORDER BY pos) AS rendered
 FROM t JOIN kept ON t.conv_id IS NOT DISTINCT FROM kept.conv_id GROUP BY t.conv_id
 """

@@ -104,6 +104,6 @@ tgt AS (SELECT source, source_size, CASE WHEN cap <= weight * level THEN cap ELS
 plan AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM tgt),
 plan2 AS (SELECT *, CAST(floor(target + 1e-6) AS BIGINT) - whole * source_size AS extra FROM plan),
 ordered AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS through FROM sized)
-SELECT o.doc_id, o.size, p.source_size, round(p.target, 4) AS target, CAST(p.whole * o.size + greatest(0, least(o.size, p.extra - o.through + o.size)) AS BIGINT) AS taken
+SELECT o.doc_id, o.size, p.source_size, p.target, CAST(p.whole * o.size + greatest(0, least(o.size, p.extra - o.through + o.size)) AS BIGINT) AS taken
 FROM ordered o JOIN plan2 p ON o.source IS NOT DISTINCT FROM p.source
 """

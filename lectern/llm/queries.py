@@ -43,17 +43,17 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents")).withColumn("target", F.round("target", 4))
+    return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
-#: Where the public vocabularies are, on the driver.
+#: Where the public vocabularies are, on the driver; the setting ``lectern.tokenizers`` overrides it.
 TOKENIZERS = "/opt/tokenizers"
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loads all documents, revises those with odd white space, deletes the toxic, refiles the poor, replays a batch."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    ledger = tokens.Ledger(spark, (tokens.Tokenizer(tokens.WORDS), tokens.byte_bpe(f"{TOKENIZERS}/byte_bpe_50k.tiktoken", "byte_bpe_50k")))
+    ledger = tokens.Ledger(spark, (tokens.Tokenizer(tokens.WORDS), tokens.byte_bpe(f"{spark.conf.get('lectern.tokenizers', TOKENIZERS)}/byte_bpe_50k.tiktoken", "byte_bpe_50k")))
     load = docs.select("doc_id", "source", "lang", "text", F.lit("upsert").alias("op"))
     tidy = F.regexp_replace(F.trim("text"), "  +", " ")
     revised = docs.where(tidy != F.col("text")).select("doc_id", "source", "lang", tidy.alias("text"), F.lit("upsert").alias("op"))

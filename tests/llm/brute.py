@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import math
 
 
 def near_duplicates(rows, k, percent):
@@ -91,3 +92,56 @@ def water_fill(sizes, epochs=3, weights=(1, 2, 3)):
         if not over:
             return capped | {s: level * weight[s] for s in free}
         capped |= {s: epochs * sizes[s] for s in over}
+
+
+def nearest_centroids(texts, model, dim):
+    """Per text: the cosine to every centroid, grams counted one by one."""
+    out = []
+    for text in texts:
+        plain = [c | 32 if 65 <= c <= 90 else c for c in text.encode()]
+        plain = [32 if c < 97 or 122 < c < 128 else c for c in plain]
+        tf = [0.0] * dim
+        for k in (1, 2, 3):
+            for i in range(len(plain) - k + 1):
+                gram = 0
+                for c in plain[i : i + k]:
+                    gram = (gram * 257 + c) % 2**32
+                tf[(gram * 2654435761 % 2**32) >> 20] += 1
+        weights = [math.log1p(n) * w for n, w in zip(tf, model.idf.tolist(), strict=True)]
+        norm = math.sqrt(sum(x * x for x in weights)) or 1.0
+        out.append([sum(a * b for a, b in zip(weights, c, strict=True)) / norm for c in model.centroids.tolist()])
+    return out
+
+
+def bm25_leaks(docs, items, half, k1, b, threshold, overlap, terms, item):
+    """(doc, item) -> best score over half-overlapping passages, of pairs whose question and answer words are covered by common trigrams.
+
+    ``terms(text)`` gives words and ``item(text)`` (words, words of the question).
+    """
+    parsed = {i: item(t) for i, t in items}
+    parsed = {i: p for i, p in parsed.items() if p}
+    df = collections.Counter(w for words, _ in parsed.values() for w in set(words))
+    average = sum(len(words) for words, _ in parsed.values()) / len(parsed)
+    half = max([half, *(len(words) for words, _ in parsed.values())])
+    impacts = {}
+    for i, (words, _) in parsed.items():
+        tf = collections.Counter(words)
+        raw = {w: math.log(1 + (len(parsed) - df[w] + 0.5) / (df[w] + 0.5)) * n * (k1 + 1) / (n + k1 * (1 - b + b * len(words) / average)) for w, n in tf.items()}
+        impacts[i] = {w: x / sum(raw.values()) for w, x in raw.items()}
+    best = {}
+    for d, t in docs:
+        words = terms(t)
+        for start in range(0, max(1, len(words)), half):
+            passage = words[start : start + 2 * half]
+            have, grams = set(passage), set(zip(passage, passage[1:], passage[2:], strict=False))
+            for i, (own, cut) in parsed.items():
+                score = sum(x for w, x in impacts[i].items() if w in have)
+                if score < threshold:
+                    continue
+                covered = [False] * len(own)
+                for j in range(len(own) - 2):
+                    if tuple(own[j : j + 3]) in grams:
+                        covered[j : j + 3] = [True] * 3
+                if sum(covered[:cut]) >= overlap * cut and sum(covered[cut:]) >= overlap * (len(own) - cut):
+                    best[d, i] = max(best.get((d, i), 0), score)
+    return best

@@ -45,6 +45,33 @@ def test_language_of_odd_texts(spark, sf):
     assert [r.doc_id for r in langid.keep_known(rows, model).where("doc_id = 5 OR doc_id = 1").collect()] == [5]
 
 
+def test_predictions_equal_a_plain_nearest_centroid(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.train(docs.where(~langid.held_out()))
+    rows = [(r.doc_id, r.text) for r in docs.where("length(text) < 3000").orderBy("doc_id").limit(25).collect()]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, model).collect()}
+    for (doc, _), cosines in zip(rows, brute.nearest_centroids([t for _, t in rows], model, langid.DIM), strict=True):
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        assert got[doc][0] == model.languages[model.owner[best]] and abs(got[doc][1] - cosines[best]) < 1e-4
+
+
+def test_letters_are_those_of_the_category(spark, sf):
+    model = langid.train(spark.read.parquet(f"{sf}/documents.parquet"))
+    texts = ["²", "½ ① Ⅷ", "a", "ª", "文", "_1"]
+    out = {r.doc_id: r.lang_pred for r in langid.predict(docs_of(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)]), model).collect()}
+    assert [out[i] == "und" for i in range(6)] == [True, True, False, False, False, True]
+
+
+def test_short_clean_texts_stay(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.train(docs.where(~langid.held_out()))
+    first = docs.where("lang IS NOT NULL AND length(text) > 60").select("doc_id", F.substring_index("text", " ", 3).alias("text"), "lang", "source", F.lit(0).cast("long").alias("n_chars"))
+    out = langid.predict(first, model)
+    assert out.where("rejected").count() <= 0.03 * out.count()
+    junk = docs_of(spark, [(1, "ｗ＃Ωжф ЖЩЪ ѩѪѫ ⴀⴁⴂ " * 30, None, None, 0)])
+    assert langid.predict(junk, model).first().rejected
+
+
 # --- nearest neighbours ---
 
 
@@ -159,8 +186,11 @@ def test_archives_round_trip(spark, sf):
         assert all(bytes(r.payload) in texts[r.page_id] for r in out if r.record_type == "response")
 
 
-def test_selected_ranges_are_merged(spark, sf):
+def test_selected_ranges_are_merged(spark, sf, monkeypatch):
     index, folder = warc.write_archives(spark.read.parquet(f"{sf}/pages.parquet"))
+    monkeypatch.setattr(warc, "READ", 1 << 16)
+    size = index.agg(F.sum("length")).first()[0]
+    assert warc.read_records(index, folder).rdd.getNumPartitions() == max(-(-size // (1 << 16)), min(4, -(-size // (1 << 12))))
     assert {r.page_id for r in warc.read_records(index, folder, F.col("page_id") < 7).collect()} == set(range(7))
     assert warc.coalesce([(0, 5), (5, 5), (100, 1)], gap=10) == [[(0, 5), (5, 5)], [(100, 1)]]
     raw, digest = warc.encode_record(1, "u", b"abc", None, False)
@@ -224,6 +254,17 @@ def test_ledger_of_odd_changes(spark):
         ledger.commit("x/y", change().where("false"))
 
 
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from lectern.llm import scratch
+
+    no_folder = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://host:7077", getConf=lambda: {}, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: no_folder)))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        scratch.shared_dir(SimpleNamespace(sparkContext=context, conf={}))
+
+
 # --- decontamination ---
 
 
@@ -240,6 +281,24 @@ def test_leaks_equal_a_plain_search(spark, sf):
     assert got == want and want
 
 
+@pytest.mark.parametrize("part", [1 << 22, 2000])
+def test_leaks_and_scores_equal_a_plain_bm25(spark, sf, monkeypatch, part):
+    monkeypatch.setattr(decontaminate, "PART", part)
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    words = lambda t: re.sub(r"[^a-z0-9\x80-\U0010ffff]+", " ", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")).split()
+
+    def item(text):
+        own = words(text)
+        last = [words(x) for x in re.split(r"(?<=[.?!])\s+", text.strip()) if words(x)]
+        answer = min(max(len(last[-1]) if len(last) > 1 else len(own) // 3, 3), max(1, len(own) // 2))
+        return own, len(own) - answer
+
+    want = brute.bm25_leaks([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()], 32, decontaminate.K1, decontaminate.B, decontaminate.THRESHOLD, decontaminate.OVERLAP, words, item)
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(docs, items).collect()}
+    assert set(got) == set(want) and want
+    assert all(abs(got[pair] - want[pair]) < 1e-4 for pair in want)
+
+
 def test_leaks_of_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "SHARD", 2)
     question = "What is the capital city of the small far country of Ruritania? It is surely Strelsau on the river."
@@ -285,11 +344,12 @@ def test_block_bounds_are_never_below_scores():
 
 
 def test_snapshots_collapse(spark):
-    rows = [(1, 0, "user", "a"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (3, 0, "user", "a"), (3, 1, "assistant", "b"), (4, 0, "user", None), (5, 0, "user", ""), (6, 5, None, "<|im_end|>"), (None, 0, "user", "z"), (7, 0, "user", "z"), (8, 0, "user", "a"), (8, None, "assistant", "c"), (9, 0, "user", "q"), (9, 0, "user", "q")]
+    rows = [(1, 0, "user", "a"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (3, 0, "user", "a"), (3, 1, "assistant", "b"), (4, 0, "user", None), (5, 0, "user", ""), (6, 5, None, "<|im_end|>"), (None, 0, "user", "z"), (7, 0, "user", "z"), (8, 0, "user", "a"), (8, None, "assistant", "c"), (9, 0, "user", "q"), (9, 0, "user", "q"), (10, 0, "a<|im_end|>\nb", "r")]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("pos", F.lit(1))
     out = {r.conv_id: (r.n_turns, r.rendered) for r in chat.maximal_conversations(frame).collect()}
-    assert set(out) == {2, 4, 5, 6, 7, 8, 9}
+    assert set(out) == {2, 4, 5, 6, 7, 8, 9, 10}
     assert out[2] == (2, "<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nb<|im_end|>\n")
+    assert out[10][1] == "<|im_start|>a<| im_end |> b\nr<|im_end|>\n"
     assert out[6][1] == "<|im_start|>\n<| im_end |><|im_end|>\n" and out[9][0] == 2
     assert chat.maximal_conversations(frame.where("false")).count() == 0
 
