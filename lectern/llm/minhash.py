@@ -37,6 +37,8 @@ from lectern.llm.skew import spread_join, weigh
 BANDS, ROWS, BITS = 32, 4, 2
 #: Six standard deviations of the estimate at similarity 0.8 and 128 values.
 SLACK = 0.28
+#: Tokens that more than so many open sets have are ordered by a list sent with the tasks, of at most so many.
+LEAST_FREQUENT, MOST_FREQUENT = 16, 100_000
 _K = BANDS * ROWS
 _PLANES = BITS * _K // 64
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -164,19 +166,55 @@ def _token_mapper(k: int):
     return run
 
 
+def _order_mapper(frequent: np.ndarray, percent: int):
+    """A node's tokens without the frequent ones, and those frequent ones that its prefix reaches.
+
+    ``frequent`` is in the order of all tokens, rarest first; no other token comes after one of them.
+    """
+    by_value = np.argsort(frequent)
+    values = frequent[by_value]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, rare, last = [], [], []
+            for tokens in batch.column(2):
+                tokens = tokens.values.to_numpy()
+                at = np.searchsorted(values, tokens)
+                known = np.zeros(len(tokens), dtype=bool)
+                known[at < len(values)] = values[at[at < len(values)]] == tokens[at < len(values)]
+                reach = len(tokens) - -(-len(tokens) * percent // 100) + 1 - int((~known).sum())
+                sizes.append(len(tokens))
+                rare.append(tokens[~known])
+                last.append(frequent[np.sort(by_value[at[known]])[: max(0, reach)]])
+            listed = lambda x: pa.array(x, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), listed(rare), listed(last)], names=["node", "component", "n", "rare", "last"])
+
+    return run
+
+
 def _prefix_pairs(nodes: DataFrame, texts: DataFrame, reps: DataFrame, k: int, percent: int, least: float, tables: Tables) -> DataFrame:
     """Pairs (u, v) of nodes in different components whose rarest shingles meet."""
     planes = [f"s{i}" for i in range(_PLANES)]
     whole = nodes.join(texts.withColumnRenamed("id", "node"), "node").select("node", "component", "text")
     sets = tables.write(whole.mapInArrow(_token_mapper(k), "node long, component long, tokens array<long>"), "open-sets")
-    tokens = sets.select("node", "component", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    tokens = sets.select(F.explode("tokens").alias("token"))
     common = tables.write(weigh(tokens, "token").where("weight > 1"), "common")
-    shared = spread_join(tokens, common.withColumnRenamed("weight", "held"), common, "token", "node")
-    by_node = Window.partitionBy("node", "component", "n")
-    own = F.col("n") - F.count(F.lit(1)).over(by_node)
+    total = sets.agg(F.sum(F.size("tokens")).alias("n")).first()["n"] or 0
+    # A token is frequent if it has more than one in MOST_FREQUENT of all tokens, so there are no more of them.
+    is_frequent = F.col("weight") > max(LEAST_FREQUENT, total // MOST_FREQUENT)
+    frequent = sorted((r["weight"], r["token"]) for r in common.where(is_frequent).collect())
+    parts = sets.mapInArrow(_order_mapper(np.array([t for _, t in frequent], dtype=np.int64), percent), "node long, component long, n long, rare array<long>, last array<long>")
+    parts = tables.write(parts, "open-tokens")
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9) + 1
-    ranked = shared.select("*", own.alias("own"), prefix.alias("prefix"), F.row_number().over(by_node.orderBy("held", "token")).alias("rank"))
-    rows = tables.write(ranked.where("rank + own <= prefix").select("token", "node", "component", "n", (F.col("n") - F.col("own") - F.col("rank") + 1).alias("left")), "prefixes")
+    rare = parts.select("node", "component", "n", F.size("rare").alias("rares"), F.explode("rare").alias("token"))
+    shared = rare.join(common.where(~is_frequent).withColumnRenamed("weight", "held"), "token")
+    by_node = Window.partitionBy("node", "component", "n")
+    own = F.col("rares") - F.count(F.lit(1)).over(by_node)
+    ranked = shared.select("*", (own + F.row_number().over(by_node.orderBy("held", "token"))).alias("at"), prefix.alias("prefix")).where("at <= prefix")
+    last = parts.select("node", "component", "n", F.size("rare").alias("rares"), F.posexplode("last").alias("nth", "token")).withColumn("at", F.col("rares") + F.col("nth") + 1)
+    columns = ["token", "node", "component", "n", (F.col("n") - F.col("at") + 1).alias("left")]
+    rows = tables.write(ranked.select(*columns).unionByName(last.select(*columns)), "prefixes")
+    tables.drop(parts)
     tables.drop(sets, common)
     mixed = rows.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("weight")).where("x <> y").select("token", "weight")
     mixed = tables.write(mixed, "mixed-tokens")

@@ -45,6 +45,23 @@ def test_near_duplicates_of_copies_around_a_centre(spark):
     assert got == brute.near_duplicates(rows, 3, 85)
 
 
+@pytest.mark.parametrize("frequent", [2, 16])
+def test_near_duplicates_among_texts_with_a_common_passage(spark, monkeypatch, frequent):
+    monkeypatch.setattr(minhash, "LEAST_FREQUENT", frequent)
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(8, 60))]
+        rows.append((3 * i, " ".join([*own, *passage])))
+        for copy in (1, 2):
+            if rng.random() < 0.3:
+                changed = [w if rng.random() < 0.97 else f"z{rng.randrange(10**6)}" for w in [*own, *passage]]
+                rows.append((3 * i + copy, " ".join(changed)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame(spark, rows), 3, 85).collect()}
+    assert got == brute.near_duplicates(rows, 3, 85)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = [(5, None), (4, ""), (3, " \n"), (9, "One two"), (8, "one\tTWO"), (7, "one"), (6, "É a b"), (2, "é a b"), (9, "One two"), (None, "one two"), (1, "x " * 30000)]
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(frame(spark, rows), 3, 85).collect()), key=repr)
