@@ -80,16 +80,10 @@ def count_tokens(docs: DataFrame, tokenizers: tuple[Tokenizer, ...]) -> DataFram
     return docs.select(F.col("doc_id").cast("long"), "source", "lang", F.col("text").cast("binary").alias("text")).mapInArrow(_count_mapper(tokenizers), _COUNTED)
 
 
-def _part(id_col: str) -> F.Column:
-    return F.pmod(F.xxhash64(id_col), F.lit(Ledger.PARTS)).cast("int")
-
-
 class Ledger:
     """The rollup at ``path``; see the module's text for its promises."""
 
-    _ENTRY = "doc_id long, source string, lang string, version string, docs long, n_chars long, tokens long, part int"
-    #: Entries lie in folders by a hash of their document, so that a batch reads those of its documents alone.
-    PARTS = 64
+    _ENTRY = "doc_id long, source string, lang string, version string, docs long, n_chars long, tokens long"
     _ROLLUP = "source string, lang string, version string, docs long, n_chars long, tokens long"
 
     def __init__(self, spark: SparkSession, tokenizers: tuple[Tokenizer, ...], path: str | None = None):
@@ -106,8 +100,8 @@ class Ledger:
         return sorted(f.getPath().getName() for f in store.listStatus(root)) if store.exists(root) else []
 
     def _read(self, kind: str, schema: str) -> DataFrame:
-        tables = [self.spark.read.schema(schema).parquet(f"{self.path}/{kind}/{b}") for b in self.committed()]
-        return reduce(DataFrame.unionByName, tables) if tables else self.spark.createDataFrame([], schema)
+        paths = [f"{self.path}/{kind}/{b}" for b in self.committed()]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Applies (doc_id, source, lang, text, op); False if the batch was applied before.
@@ -136,15 +130,12 @@ class Ledger:
             others = others.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
             others = others.join(upserts.withColumnRenamed("id", "up"), F.col("id").eqNullSafe(F.col("up")), "left_anti")
             touched = others.unionByName(upserts.select("id", F.lit("upsert").alias("op"), F.lit(None).cast("string").alias("to_source"), F.lit(None).cast("string").alias("to_lang")))
-            touched = touched.withColumn("in_part", _part("id"))
-            # Entries of other documents are left out before anything is summed or shuffled.
-            known = self._read("entries", self._ENTRY)
-            known = known.join(touched.select("id", "in_part"), (F.col("part") == F.col("in_part")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+            # Entries of other documents are left out before anything is summed; Spark broadcasts the ids of a small batch.
+            known = self._read("entries", self._ENTRY).join(touched.select("id"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
             held = self._balances(known).join(touched, F.col("doc_id").eqNullSafe(F.col("id")))
             parts.append(held.select(*columns, *((-F.col(c)).alias(c) for c in sums)))
             parts.append(held.where("op = 'move'").select("doc_id", F.coalesce("to_source", "source").alias("source"), F.coalesce("to_lang", "lang").alias("lang"), "version", *sums))
-        rows = reduce(DataFrame.unionByName, parts).withColumn("part", _part("doc_id"))
-        rows.write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/entries/{batch_id}")
+        reduce(DataFrame.unionByName, parts).write.mode("overwrite").parquet(f"{self.path}/entries/{batch_id}")
         entries = self.spark.read.schema(self._ENTRY).parquet(f"{self.path}/entries/{batch_id}")
         self._sum(entries).write.mode("overwrite").parquet(f"{self.path}/rollup/{batch_id}")
         marker, store = self._hadoop(f"{self.path}/committed/{batch_id}")
