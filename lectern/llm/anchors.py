@@ -53,8 +53,8 @@ class Unit:
     #: Keys with more open records than this are spread by the content of each window.
     hot_key: int = 2048
     #: Longest stretch of text hashed at once, and bytes of text gathered before a chunk is sent.
-    segment: int = 2 << 20
-    flush: int = 24 << 20
+    segment: int = 512 << 10
+    flush: int = 8 << 20
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -78,7 +78,7 @@ def _signature_mapper(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = tk.column_bytes(batch.column(1))
-            for first, last in tk.text_chunks(offsets, 1 << 20):
+            for first, last in tk.text_chunks(offsets, 512 << 10):
                 base = offsets[first : last + 1]
                 sets = _shingle_sets(tk.lower_ascii(raw[base[0] : base[-1]]), base - base[0], k)
                 low = np.stack([_minima(s) for s in sets])
@@ -157,7 +157,7 @@ def _token_mapper(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = tk.column_bytes(batch.column(2))
-            for first, last in tk.text_chunks(offsets, 1 << 20):
+            for first, last in tk.text_chunks(offsets, 512 << 10):
                 base = offsets[first : last + 1]
                 sets = _shingle_sets(tk.lower_ascii(raw[base[0] : base[-1]]), base - base[0], k)
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), tk.int64(np.concatenate(sets)))
