@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,11 +13,17 @@ from lectern.operators import lines as ln
 MAIN_SECTIONS = ("abstract", "introduction", "methods", "results", "discussion", "conclusion")
 
 
-def _findings(notes: DataFrame, checks: list[tuple[str, str, Column, Column | None]]) -> DataFrame:
-    """Rows for the (severity, rule, condition, detail) that hold, evaluated in one pass per note."""
+#: A check: severity, rule, condition and detail, both given the note's measures.
+Check = tuple[str, str, Column, Column | None]
+
+
+def _findings(notes: DataFrame, *validators) -> DataFrame:
+    """Findings of the validators, each a pair (measures of a text, checks of the measures): one pass over a note for all."""
+    names = [f"m{i}" for i in range(len(validators))]
+    measured = notes.select("doc_id", *(measure(F.col("text")).alias(n) for n, (measure, _) in zip(names, validators, strict=True)))
     row = lambda s, r, c, d: F.when(c, F.struct(F.lit(s).alias("severity"), F.lit(r).alias("rule"), (F.lit("") if d is None else F.coalesce(d.cast("string"), F.lit(""))).alias("detail")))
-    found = F.filter(F.array(*(row(*c) for c in checks)), lambda f: f.isNotNull())
-    return notes.select("doc_id", F.inline(found))
+    rows = [row(*check) for n, (_, checks) in zip(names, validators, strict=True) for check in checks(lambda f, n=n: F.col(f"{n}.{f}"))]
+    return measured.select("doc_id", F.inline(F.filter(F.array(*rows), lambda f: f.isNotNull())))
 
 
 def headings(notes: DataFrame) -> DataFrame:
@@ -28,39 +32,53 @@ def headings(notes: DataFrame) -> DataFrame:
     return rows.select("doc_id", "line_no", F.length(F.regexp_extract("line", r"^(#+)", 1)).cast("long").alias("level"), F.trim(F.regexp_replace("line", r"^#{1,6}\s+", "")).alias("title"))
 
 
-def validate_headings(notes: DataFrame) -> DataFrame:
-    per = headings(notes).groupBy("doc_id").agg(
-        F.count_if(F.col("level") == 1).alias("h1"), F.count_if((F.lower("title") == "abstract") & (F.col("level") != 2)).alias("abstract"), F.count_if(F.lower("title").isin(*MAIN_SECTIONS) & (F.col("level") == 1)).alias("main")
+def _heading_measures(text: Column) -> Column:
+    shown = ln.with_regions(F.split(text, "\n", -1), lambda x, c: F.when(c.isin(ln.PROSE, ln.REFERENCES) & x.rlike(r"^#{1,6}\s+\S"), x))
+    level = lambda x: F.length(F.regexp_extract(x, r"^(#+)", 1))
+    title = lambda x: F.lower(F.trim(F.regexp_replace(x, r"^#{1,6}\s+", "")))
+    n = lambda rows, f: F.size(F.filter(rows, f))
+    return let(
+        F.filter(shown, lambda x: x.isNotNull()),
+        lambda rows: F.struct(n(rows, lambda x: level(x) == 1).alias("h1"), n(rows, lambda x: (title(x) == "abstract") & (level(x) != 2)).alias("abstract"), n(rows, lambda x: title(x).isin(*MAIN_SECTIONS) & (level(x) == 1)).alias("main")),
     )
-    n = notes.join(per, "doc_id", "left").select("doc_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("h1", "abstract", "main")))
-    return _findings(n, [("error", "one_h1", F.col("h1") != 1, F.col("h1")), ("error", "abstract_h2", F.col("abstract") > 0, F.col("abstract")), ("error", "section_h1", F.col("main") > 0, F.col("main"))])
 
 
-def validate_frontmatter(notes: DataFrame) -> DataFrame:
-    text = F.col("text")
-    has = text.rlike(tx.FRONTMATTER)
-    front = tx.frontmatter(text)
-    return _findings(
-        notes,
-        [
-            ("error", "frontmatter_missing", ~has & ~text.rlike(r"\A\s+---"), None),
-            ("error", "frontmatter_not_first", ~has & text.rlike(r"\A\s+---"), None),
-            ("error", "title_missing", has & tx.frontmatter_value(text, "title").isNull(), None),
-            ("warning", "aliases_missing", has & (F.size(tx.yaml_list(text, "aliases")) == 0), None),
-            ("warning", "windows_path", front.rlike(r"(?m):[ \t]*\"[A-Za-z]:\\"), None),
-        ],
+HEADINGS = (_heading_measures, lambda m: [("error", "one_h1", m("h1") != 1, m("h1")), ("error", "abstract_h2", m("abstract") > 0, m("abstract")), ("error", "section_h1", m("main") > 0, m("main"))])
+
+
+def _frontmatter_measures(text: Column) -> Column:
+    return F.struct(
+        text.rlike(tx.FRONTMATTER).alias("has"),
+        text.rlike(r"\A\s+---").alias("late"),
+        tx.frontmatter_value(text, "title").isNull().alias("untitled"),
+        (F.size(tx.yaml_list(text, "aliases")) == 0).alias("unaliased"),
+        tx.frontmatter(text).rlike(r"(?m):[ \t]*\"[A-Za-z]:\\").alias("windows"),
     )
 
 
-def validate_references(notes: DataFrame) -> DataFrame:
+FRONTMATTER = (
+    _frontmatter_measures,
+    lambda m: [
+        ("error", "frontmatter_missing", ~m("has") & ~m("late"), None),
+        ("error", "frontmatter_not_first", ~m("has") & m("late"), None),
+        ("error", "title_missing", m("has") & m("untitled"), None),
+        ("warning", "aliases_missing", m("has") & m("unaliased"), None),
+        ("warning", "windows_path", m("windows"), None),
+    ],
+)
 
+
+def _reference_measures(text: Column) -> Column:
     def measure(p: Column) -> Column:
         body = F.concat(p["before"], p["after"])
         numbers = tx.reference_numbers(p["section"])
         cited = F.transform(find_all(body, r"\[\[#\^ref-(\d{1,9})\|", 1), lambda n: n.cast("int"))
+        notes = F.transform(find_all(body, r"\[\^(\d{1,9})\]", 1), lambda n: n.cast("int"))
         counted = lambda plain: F.struct(
             count(plain, citations.NAMED).alias("named"),
             F.size(F.array_except(cited, numbers)).alias("dangling"),
+            F.size(F.array_intersect(notes, numbers)).alias("footnotes"),
+            F.size(F.filter(find_all(body, r"(?m)^(?:>[ \t]*)?\[\^\d{1,9}\]:[ \t]*(.*)$", 1), tx.looks_bibliographic)).alias("bibliographic"),
             F.size(numbers).alias("entries"),
             F.size(F.array_distinct(numbers)).alias("distinct"),
             count(p["section"], r"(?m)\^ref-\d+[ \t]*$").alias("blocks"),
@@ -70,25 +88,27 @@ def validate_references(notes: DataFrame) -> DataFrame:
         )
         return let(F.array_join(gaps(body), " "), counted)
 
-    rows = notes.select("doc_id", let(tx.split_references(F.col("text")), measure).alias("m"))
-    m = lambda c: F.col(f"m.{c}")
-    return _findings(
-        rows,
-        [
-            ("error", "named_keys_left", m("named") > 0, m("named")),
-            ("error", "dangling_links", m("dangling") > 0, m("dangling")),
-            ("error", "block_ids_missing", m("entries") != m("blocks"), m("entries")),
-            ("error", "raw_numbers_left", m("raw") > 0, m("raw")),
-            ("warning", "author_years_left", m("years") > 0, m("years")),
-            ("warning", "baseline_commas", m("commas") > 0, m("commas")),
-            ("warning", "duplicate_numbers", m("entries") != m("distinct"), m("entries")),
-        ],
-    )
+    return let(tx.split_references(text), measure)
 
 
-def validate_text(notes: DataFrame) -> DataFrame:
-    text = F.col("text")
-    measured = let(
+REFERENCES = (
+    _reference_measures,
+    lambda m: [
+        ("error", "named_keys_left", m("named") > 0, m("named")),
+        ("error", "dangling_links", m("dangling") > 0, m("dangling")),
+        ("error", "block_ids_missing", m("entries") != m("blocks"), m("entries")),
+        ("error", "raw_numbers_left", m("raw") > 0, m("raw")),
+        ("error", "bibliographic_footnotes_left", m("bibliographic") > 0, m("bibliographic")),
+        ("error", "footnotes_of_entries", m("footnotes") > 0, m("footnotes")),
+        ("warning", "author_years_left", m("years") > 0, m("years")),
+        ("warning", "baseline_commas", m("commas") > 0, m("commas")),
+        ("warning", "duplicate_numbers", m("entries") != m("distinct"), m("entries")),
+    ],
+)
+
+
+def _text_measures(text: Column) -> Column:
+    return let(
         F.array_join(gaps(text, PROTECTED), " "),
         lambda prose: F.struct(
             count(text, r"\$\$").alias("display"),
@@ -101,35 +121,67 @@ def validate_text(notes: DataFrame) -> DataFrame:
             (count(F.regexp_replace(text, r"\$\$|\\\$", ""), r"\$") % 2 == 1).alias("dollars"),
         ),
     )
-    rows = notes.select("doc_id", measured.alias("m"))
-    m = lambda c: F.col(f"m.{c}")
-    return _findings(
-        rows,
-        [
-            ("error", "odd_display_math", m("display") % 2 == 1, m("display")),
-            ("error", "odd_fences", m("fences") % 2 == 1, m("fences")),
-            ("error", "mojibake", m("mojibake") > 0, m("mojibake")),
-            ("error", "control_characters", m("control"), None),
-            ("error", "temporary_path", m("temporary"), None),
-            ("warning", "html_tags", m("html"), None),
-            ("warning", "tex_parentheses", m("tex"), None),
-            ("warning", "odd_dollars", m("dollars"), None),
-        ],
-    )
+
+
+WHOLE_TEXT = (
+    _text_measures,
+    lambda m: [
+        ("error", "odd_display_math", m("display") % 2 == 1, m("display")),
+        ("error", "odd_fences", m("fences") % 2 == 1, m("fences")),
+        ("error", "mojibake", m("mojibake") > 0, m("mojibake")),
+        ("error", "control_characters", m("control"), None),
+        ("error", "temporary_path", m("temporary"), None),
+        ("warning", "html_tags", m("html"), None),
+        ("warning", "tex_parentheses", m("tex"), None),
+        ("warning", "odd_dollars", m("dollars"), None),
+    ],
+)
+
+
+def images(roots: tuple[str, ...] = ("_resources", "_附件", "images")):
+    absolute = r"^(?:/|[A-Za-z]:[\\/]|file:)"
+    inside = "^(?:https?:|data:|" + "|".join(f"{r}/" for r in roots) + ")"
+
+    def measure(text: Column) -> Column:
+        n = lambda targets, f: F.size(F.filter(targets, f))
+        return let(
+            find_all(text, r"!\[[^\]]*\]\(([^)\r\n]+)\)", 1),
+            lambda found: F.struct(n(found, lambda t: t.rlike(absolute)).alias("absolute"), n(found, lambda t: ~t.rlike(absolute) & ~t.rlike(inside)).alias("outside"), n(found, lambda t: t.rlike("^https?:")).alias("remote")),
+        )
+
+    return measure, lambda m: [("error", "absolute_image", m("absolute") > 0, m("absolute")), ("warning", "image_outside_roots", m("outside") > 0, m("outside")), ("warning", "remote_image", m("remote") > 0, m("remote"))]
+
+
+def workflow_record(least: int = 10):
+    def measure(text: Column) -> Column:
+        bilingual = (count(text, r"(?m)^> ") >= least) & (F.size(F.filter(F.split(text, "\n"), lambda x: tx.has_cjk(x) & ~x.startswith(">"))) >= least)
+        return F.struct((bilingual & tx.frontmatter_value(text, "translation_skill").isNull()).alias("lost"))
+
+    return measure, lambda m: [("error", "provenance_missing", m("lost"), None)]
+
+
+def validate_headings(notes: DataFrame) -> DataFrame:
+    return _findings(notes, HEADINGS)
+
+
+def validate_frontmatter(notes: DataFrame) -> DataFrame:
+    return _findings(notes, FRONTMATTER)
+
+
+def validate_references(notes: DataFrame) -> DataFrame:
+    return _findings(notes, REFERENCES)
+
+
+def validate_text(notes: DataFrame) -> DataFrame:
+    return _findings(notes, WHOLE_TEXT)
 
 
 def validate_images(notes: DataFrame, roots: tuple[str, ...] = ("_resources", "_附件", "images")) -> DataFrame:
-    targets = find_all(F.col("text"), r"!\[[^\]]*\]\(([^)\r\n]+)\)", 1)
-    n = lambda f: F.size(F.filter(targets, f))
-    absolute = lambda t: t.rlike(r"^(?:/|[A-Za-z]:[\\/]|file:)")
-    outside = lambda t: ~absolute(t) & ~t.rlike(r"^(?:https?:|data:)") & ~t.rlike("^(?:" + "|".join(roots) + ")/")
-    return _findings(notes, [("error", "absolute_image", n(absolute) > 0, n(absolute)), ("warning", "image_outside_roots", n(outside) > 0, n(outside)), ("warning", "remote_image", n(lambda t: t.rlike("^https?:")) > 0, n(lambda t: t.rlike("^https?:")))])
+    return _findings(notes, images(roots))
 
 
 def validate_workflow_record(notes: DataFrame, least: int = 10) -> DataFrame:
-    text = F.col("text")
-    bilingual = (count(text, r"(?m)^> ") >= least) & (F.size(F.filter(F.split("text", "\n"), lambda x: tx.has_cjk(x) & ~x.startswith(">"))) >= least)
-    return _findings(notes, [("error", "provenance_missing", bilingual & tx.frontmatter_value(text, "translation_skill").isNull(), None)])
+    return _findings(notes, workflow_record(least))
 
 
 def citation_placement(notes: DataFrame) -> DataFrame:
@@ -173,9 +225,8 @@ def bilingual_layout(units: DataFrame, notes: DataFrame) -> DataFrame:
 
 
 def note_findings(notes: DataFrame) -> DataFrame:
-    """All single-note validators' findings."""
-    parts = [validate_headings(notes), validate_frontmatter(notes), validate_references(notes), validate_text(notes), validate_images(notes), validate_workflow_record(notes)]
-    return reduce(DataFrame.unionByName, parts)
+    """All single-note validators' findings, from one pass over each note."""
+    return _findings(notes, HEADINGS, FRONTMATTER, REFERENCES, WHOLE_TEXT, images(), workflow_record())
 
 
 def readiness(notes: DataFrame) -> DataFrame:

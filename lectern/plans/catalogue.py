@@ -552,6 +552,36 @@ def slugs_and_titles(spark, d):
     return notes(spark, d).select("doc_id", tx.slugify(title).alias("slug"), tx.clean_title(F.concat(title, F.lit(": a/b?"))).alias("clean"))
 
 
+@query("table_triage", sql.TRIAGE)
+def table_triage(spark, d):
+    return cl.table_triage(notes(spark, d))
+
+
+@query("concept_notes", sql.CONCEPT_NOTES)
+def concept_notes(spark, d):
+    return kn.concept_notes(notes(spark, d), "notes/3.md").select("path", sha())
+
+
+@query("reference_number_sets", sql.NUMBER_SETS)
+def reference_number_sets(spark, d):
+    rows = notes(spark, d).withColumn("p", tx.split_references(F.col("text")))
+    entries = rows.select("doc_id", F.explode(tx.reference_numbers(F.col("p.section"))).alias("number"))
+    linked = rows.select("doc_id", F.explode(F.regexp_extract_all(F.concat("p.before", "p.after"), F.lit(r"\^ref-(\d{1,9})\|"), F.lit(1))).alias("number"))
+    return un.same_numbers(entries, linked.withColumn("number", F.col("number").cast("int")))
+
+
+@query("valid_partial_units", sql.VALID_UNITS)
+def valid_partial_units(spark, d):
+    units = _document_units(spark, d).withColumn("english", F.regexp_replace("english", r"[$*_\[\]`]", ""))
+    return un.valid_units(units, _results(spark, d))
+
+
+@query("review_occurrences", sql.REVIEW)
+def review_occurrences(spark, d):
+    asked = spark.createDataFrame([("references", "R", "heading", False), ("ICRA2024", "I", "heading", False), ("Paper 1", "P", "heading", False), ("see", "S", "stem", True)], "surface string, target string, provenance string, auto_write boolean")
+    return kn.review_occurrences(notes(spark, d), asked).select("doc_id", "surface", "n")
+
+
 # --- reference titles, assets, paths --------------------------------------------------------
 
 

@@ -248,3 +248,16 @@ PACKAGES = """SELECT CAST(c_custkey AS VARCHAR) AS item_key, max('p/' || CAST(o_
 WHERE o_orderstatus = 'F' AND (c_custkey % 2 <> 0 OR o_orderpriority = '1-URGENT') GROUP BY c_custkey"""
 PATHS = """SELECT doc_id, '../../_resources/' || lang || '/' || CAST(doc_id AS VARCHAR) || '.png' AS relative, CASE WHEN lang IS NOT NULL THEN false END AS within,
 'translate_' || source || '_' || substr(sha256('/v/notes/' || source || '/workflow'), 1, 16) || '_a2' AS task FROM documents"""
+
+_FRONT = f"regexp_extract(md, '^---' || {_NL} || '(.*?)' || {_NL} || '---', 1, 's')"
+TRIAGE = _WITH_MD + """, t AS (SELECT doc_id, md, regexp_extract_all(md, '(?is)<table\\b[^>]*>.*?</table>') AS found, regexp_replace(md, '(?is)<table\\b[^>]*>.*?</table>', '', 'g') AS rest FROM md)
+SELECT doc_id, CAST(len(found) AS BIGINT) AS n_tables, CAST(len(found) AS BIGINT) AS n_convert, CAST(0 AS BIGINT) AS n_review, CAST(len(regexp_extract_all(rest, '(?i)</?table\\b[^>]*>')) AS BIGINT) AS n_unmatched FROM t"""
+CONCEPT_NOTES = _WITH_MD + f"SELECT 'notes/' || CAST(doc_id AS VARCHAR) || '.md' AS path, sha256(md) AS sha256 FROM md WHERE doc_id <> 3 AND NOT regexp_matches({_FRONT}, '(?m)^  - paper$')"
+NUMBER_SETS = _WITH_LN + r""", r AS (SELECT doc_id, line, sum(CASE WHEN line = '## References' THEN 1 ELSE 0 END) OVER w - sum(CASE WHEN line = '## Appendix' THEN 1 ELSE 0 END) OVER w AS inside FROM ln WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+e AS (SELECT DISTINCT doc_id, CAST(regexp_extract(line, '^\[(\d{1,9})\]\s', 1) AS INTEGER) AS number FROM r WHERE inside > 0 AND regexp_matches(line, '^\[\d{1,9}\]\s')),
+l AS (SELECT DISTINCT doc_id, CAST(unnest(regexp_extract_all(line, '\^ref-(\d{1,9})\|', 1)) AS INTEGER) AS number FROM r WHERE inside = 0),
+b AS (SELECT coalesce(e.doc_id, l.doc_id) AS doc_id, e.number AS want, l.number AS have FROM e FULL JOIN l ON e.doc_id = l.doc_id AND e.number = l.number)
+SELECT doc_id, count(*) FILTER (have IS NULL) AS n_missing, count(*) FILTER (want IS NULL) AS n_unexpected, count(*) FILTER (have IS NULL OR want IS NULL) = 0 AS same FROM b GROUP BY doc_id"""
+VALID_UNITS = "SELECT CAST(doc_id AS VARCHAR) AS unit_id, '译文' AS zh FROM labels JOIN documents USING (doc_id) WHERE coalesce(toxic <> 1, true) AND coalesce(quality <> 0, true) AND doc_id % 10 <> 3"
+REVIEW = _WITH_MD + """, a AS (SELECT * FROM (VALUES ('references', false), ('ICRA2024', true), ('Paper 1', false)) AS v(surface, exact_))
+SELECT doc_id, surface, n FROM (SELECT doc_id, surface, CAST((length(t) - length(replace(t, s, ''))) / length(s) AS BIGINT) AS n FROM (SELECT doc_id, surface, CASE WHEN exact_ THEN md ELSE lower(md) END AS t, CASE WHEN exact_ THEN surface ELSE lower(surface) END AS s FROM md, a)) WHERE n > 0"""

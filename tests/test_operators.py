@@ -273,3 +273,91 @@ def test_alignments_keep_manual_entries(spark):
     over = {r.image: (r.status, r.position, r.width) for r in assets.sync_alignments(images, cache, overwrite=True).collect()}
     assert over["a.png"] == ("overwritten", "center", "10")
     assert tuple(assets.alignment_counts(assets.sync_alignments(images, cache)).first()) == ("n.md", 1, 0, 1, 1)
+
+
+def chain(spark, *texts):
+    """Footnotes, then the reference section's structure, then links."""
+    step = citations.footnotes_to_references(notes(spark, *texts)).select("doc_id", "text")
+    return text_of(citations.link_citations(step.withColumn("text", citations.structure_references(F.col("text")))))
+
+
+def test_quoted_originals_stay_quotes_without_an_id(spark):
+    text = "Claim[^1].\n\n## References\n\n## Annex\n\nMore[^2].\n\n> [^1]: J. Doe (2001) On tests. Journal of X, pp. 1–2.\n\n[^1]: J. Doe (2001) 论测试。X 期刊。\n\n> [^2]: R. Roe (2002) On proofs. Journal of Y.\n\n[^2]: R. Roe (2002) 论证明。Y 期刊。\n"
+    out = chain(spark, text)[0]
+    section = "## References\n\n> [1] J. Doe (2001) On tests. Journal of X, pp. 1–2.\n\n[1] J. Doe (2001) 论测试。X 期刊。 ^ref-1\n\n> [2] R. Roe (2002) On proofs. Journal of Y.\n\n[2] R. Roe (2002) 论证明。Y 期刊。 ^ref-2\n\n## Annex\n"
+    assert out.startswith("Claim[[#^ref-1|¹]].\n\n" + section) and "More[[#^ref-2|²]]." in out
+    assert chain(spark, out) == [out]
+    assert [(r.number, r.entry) for r in citations.reference_entries(notes(spark, out)).collect()] == [(1, "J. Doe (2001) 论测试。X 期刊。"), (2, "R. Roe (2002) 论证明。Y 期刊。")]
+    assert not {r.rule for r in validators.validate_references(notes(spark, out)).collect()}
+
+
+def test_labels_defined_twice_are_conflicts(spark):
+    text = "A[^1].\n\n[^1]: J. Doe (2001) One. Journal.\n\n[^1]: J. Doe (2001) Other. Journal.\n"
+    row = citations.footnotes_to_references(notes(spark, text)).first()
+    assert row.conflicts == [1] and row.text == text
+
+
+def test_footnotes_mixed_and_contiguous(spark):
+    mixed = "Known[^1], see[^2] and[^3].\n\n[^1]: J. Doe (2001) One. Journal of X.\n\n[^2]: A remark of the editor, no more.\n\n[^3]: R. Roe (2002) Two. Proceedings.\n"
+    weak = mixed.replace("A remark of the editor, no more.", "Manual, https://example.org/m.")
+    one, all_ = chain(spark, mixed, weak)
+    assert "see[^2]" in one and "[^2]: A remark" in one and "[[#^ref-3|³]]" in one
+    assert "[^" not in all_ and "[2] Manual, https://example.org/m. ^ref-2" in all_
+    rules = lambda t: {r.rule for r in validators.validate_references(notes(spark, t)).collect()}
+    assert "bibliographic_footnotes_left" in rules(mixed) and "bibliographic_footnotes_left" not in rules("A[^1].\n\n[^1]: A remark.\n")
+    assert "footnotes_of_entries" in rules("A[^1].\n\n## References\n\n[1] J. Doe (2001) One. ^ref-1\n")
+
+
+def test_complete_entries_absorb_nothing(spark):
+    text = "A [5], [6].\n\n## References\n\n[5] Ann Long and Bea\n\nShort. A title. 2001.\n\nreview. Journal of Z, 2001.\n\n[6] C. Doe. Next\nline. 2002.\n"
+    out = chain(spark, text)[0]
+    assert out.endswith("[5] Ann Long and Bea Short. A title. 2001. ^ref-5\n\nreview. Journal of Z, 2001.\n\n[6] C. Doe. Next line. 2002. ^ref-6\n")
+    assert chain(spark, out) == [out]
+
+
+def test_people_pass_through_where_they_are_listed(spark):
+    text = "# T\n\nAnn Lee, Bob van Dyk\n\n## Contributors\n\nAlma Ray<sup>1</sup>, Ivo Kern<sup>2</sup>\n\nKai Ott  Lea Um [kai@x.org](mailto:kai@x.org)\n\n王小明、李雷\n\nOpen Robotics Laboratory\n\nAlma Ray wrote this.\n\n## Methods\n\nAnn Lee, Bob van Dyk\n"
+    got = [(r.english, r.reason) for r in units.translation_units(notes(spark, text)).orderBy("unit_order").collect()]
+    people = {"Alma Ray<sup>1</sup>, Ivo Kern<sup>2</sup>", "Kai Ott  Lea Um [kai@x.org](mailto:kai@x.org)"}
+    assert got[0] == ("Ann Lee, Bob van Dyk", "contributors") and got[-1] == ("Ann Lee, Bob van Dyk", None)
+    assert {e for e, r in got[1:] if r == "contributors"} == people
+    assert {e for e, r in got if r is None} == {"王小明、李雷", "Open Robotics Laboratory", "Alma Ray wrote this.", "Ann Lee, Bob van Dyk"}
+
+
+def test_code_lines_pass_through(spark):
+    code = ["⬇", "class Job:", "def run(self, a, keep\\_b)", "while n\\_a < self.n\\_b:", "self.node\\_set.run(", "to\\_list=self.out\\_ch,", ")", "if *$G$ is done* then", "return $A$, $B$;", "end if", "$T_{x}\\leftarrow$ Plan ($S$);", "a ← b", "os.path.join(a);", "break"]
+    prose = ["1 $D\\leftarrow$ $E$; // a map", "(a) A usual job.", "If it is stable, then it ends.", "For the large one, all is well.", "Return to the start of the text, reader.", "x"]
+    got = {r.english: r.reason for r in units.translation_units(notes(spark, "# T\n\n## M\n\n" + "\n\n".join(code + prose) + "\n")).collect()}
+    assert [c for c in code if got[c] != "code"] == [] and {got[p] for p in prose if p not in ("Return to the start of the text, reader.",)} == {None}
+
+
+def test_small_set_operators(spark):
+    u = spark.createDataFrame([(1, "u1", "A", True, "h1", "paragraph"), (1, "u2", "B", True, "h2", "paragraph"), (1, "u3", "ID", False, "h3", "passthrough")], "doc_id long, unit_id string, english string, requires_translation boolean, source_sha256 string, kind string")
+    r = spark.createDataFrame([("u1", "甲"), ("u2", "no"), ("u3", "ID")], "unit_id string, zh string")
+    assert {(x.unit_id, x.zh) for x in units.valid_units(u, r).collect()} == {("u1", "甲"), ("u3", "ID")}
+    empty = spark.createDataFrame([], "cache_key string, zh string, unit_kind string, runtime_verified boolean, quality_tier string, seq long")
+    kept, cache = units.import_valid(u, r, empty, F.lit(1).cast("long"), "high")
+    assert kept.count() == 2 and [(x.zh, x.unit_kind) for x in units.cache_in_order(cache).collect()] == [("甲", "paragraph")]
+    assert units.import_valid(u, r, empty, F.lit(1).cast("long"), "high", most_invalid=1)[0].count() == 0
+    assert [tuple(x) for x in units.shared_ids(u.select("doc_id", "unit_id").where("unit_id <> 'u2'"), u).collect()] == [(1, 1, 1)]
+    a, b = (spark.createDataFrame(x, "doc_id long, number int") for x in ([(1, 1), (1, 2), (2, 1)], [(1, 2), (2, 1), (2, 1)]))
+    assert sorted(tuple(x) for x in units.same_numbers(a, b).collect()) == [(1, 1, 0, False), (2, 0, 0, True)]
+    assert units.status_schema(7)["properties"]["translated_units"]["const"] == 7
+
+
+def test_paper_notes_give_no_concepts(spark):
+    rows = [("论文/a.md", "x"), ("论文/b 概念.md", "x"), ("c/提示词 1.md", "x"), ("B.md", "---\ntags: [Paper]\n---\n"), ("d.md", "---\ntags: [paper, concept]\n---\n"), ("a.md", "x"), ("e.md", None)]
+    vault = spark.createDataFrame(rows, "path string, text string")
+    assert [r.path for r in knowledge.concept_notes(vault, "e.md").collect()] == ["a.md", "d.md", "论文/b 概念.md"]
+
+
+def test_review_occurrences_count_without_overlap(spark):
+    asked = spark.createDataFrame([("aa", "A", "heading", False), ("XY", "B", "heading", False), ("word", "C", "stem", True)], "surface string, target string, provenance string, auto_write boolean")
+    out = knowledge.review_occurrences(notes(spark, "aaaaa Aa xy XYXY word", None, ""), asked).collect()
+    assert {(r.doc_id, r.surface, r.n) for r in out} == {(0, "aa", 3), (0, "XY", 2)}
+
+
+def test_tables_are_counted_by_status(spark):
+    good, bad = "<table><tr><td>a</td></tr><tr><td>b</td></tr></table>", "<table></table>"
+    out = [tuple(r) for r in cleaning.table_triage(notes(spark, good + bad + "</table>", "x")).orderBy("doc_id").collect()]
+    assert out == [(0, 2, 1, 1, 1), (1, 0, 0, 0, 0)]
