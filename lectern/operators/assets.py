@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import urllib.parse
+import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -106,7 +107,19 @@ def decode_data_uri(uri: str) -> bytes:
     return base64.b64decode(data, validate=True) if head.endswith(";base64") else urllib.parse.unquote_to_bytes(data)
 
 
-def fetch(sources: DataFrame, fetcher: Callable[[str], bytes]) -> DataFrame:
+def http_get(url: str, most: int = MOST_BYTES, seconds: float = 30) -> bytes:
+    """A response's body, read in pieces and given up beyond ``most`` bytes or without an answer in ``seconds``."""
+    with urllib.request.urlopen(url, timeout=seconds) as answer:
+        parts, held = [], 0
+        while piece := answer.read(1 << 16):
+            held += len(piece)
+            if held > most:
+                raise ValueError(f"larger than {most >> 20} MiB")
+            parts.append(piece)
+    return b"".join(parts)
+
+
+def fetch(sources: DataFrame, fetcher: Callable[[str], bytes] = http_get) -> DataFrame:
     """(source, status, sha256, content, error) of distinct sources: data URIs decoded, others by ``fetcher``.
 
     One failing source is a row with its error, not a failed job; over 50 MiB is an error.

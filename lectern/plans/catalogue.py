@@ -350,7 +350,7 @@ def import_status(spark, d):
 def merged_notes(spark, d):
     units = un.translation_units(notes(spark, d))
     done = units.where("requires_translation").select("doc_id", "unit_id", F.concat(F.lit("译文 "), "unit_id").alias("zh"))
-    return un.merge(units, done).select("doc_id", "complete", F.regexp_count("text", F.lit("(?m)^译文 u")).cast("long").alias("n_translated"))
+    return un.merge_notes(notes(spark, d), done).select("doc_id", "complete", sha())
 
 
 # --- concepts, bibliography, layout, assets -------------------------------------------------

@@ -159,7 +159,13 @@ e AS (SELECT unit_id, 'unknown_unit' AS error FROM b WHERE NOT known UNION ALL S
 CONTRACT = f"WITH {_ERRORS} SELECT error, count(*) AS n FROM e GROUP BY error"
 COMBINED = f"WITH {_RESULTS}, u AS (SELECT DISTINCT unit_id, zh FROM res) SELECT unit_id, zh FROM u UNION ALL SELECT CAST(doc_id AS VARCHAR), '旧' FROM documents WHERE CAST(doc_id AS VARCHAR) NOT IN (SELECT unit_id FROM u)"
 IMPORT = f"WITH {_ERRORS} SELECT (SELECT count(*) FROM du) AS n_units, count(DISTINCT unit_id) AS n_invalid, CASE WHEN count(DISTINCT unit_id) = 0 THEN 'valid' WHEN count(DISTINCT unit_id) < 5 THEN 'partial' ELSE 'failed' END AS status FROM e"
-MERGED = _WITH_UN + "SELECT doc_id, true AS complete, count(*) FILTER (reason IS NULL) AS n_translated FROM un GROUP BY doc_id"
+MERGED = _WITH_UN + f""", n AS (SELECT doc_id, line_no, raw, kind AS base, english, reason, 'u' || lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS VARCHAR), 5, '0') AS unit_id FROM u7),
+s AS (SELECT doc_id, dropped, min(line_no) AS line_no, string_agg(line, {_NL} ORDER BY line_no) AS whole FROM u3 GROUP BY doc_id, island, dropped),
+q AS (SELECT *, CASE WHEN reason IS NULL AND base = 'list_item' THEN regexp_extract(raw, '^\\s*(?:[-*+]|\\d+[.)])\\s+') ELSE '' END AS bullet FROM n),
+p AS (SELECT s.doc_id, s.line_no, CASE WHEN q.doc_id IS NULL THEN whole ELSE
+  array_to_string(list_transform(string_split(bullet || english, {_NL}), lambda x: CASE WHEN x = '' THEN '>' ELSE '> ' || x END), {_NL}) || {_NL} || {_NL} || bullet || CASE WHEN reason IS NULL THEN '译文 ' || unit_id ELSE english END END AS piece
+  FROM s LEFT JOIN q ON s.doc_id = q.doc_id AND s.line_no = q.line_no AND NOT s.dropped)
+SELECT doc_id, true AS complete, sha256(string_agg(piece, {_NL} ORDER BY line_no)) AS sha256 FROM p GROUP BY doc_id"""
 
 CONCEPTS = """
 WITH v AS (SELECT 'concepts/' || p_name || '.md' AS path, p_name AS target, p_name || ' (size ' || CAST(p_size AS VARCHAR) || ')' AS h, p_name, p_brand, p_type || ' ' || CAST(p_partkey AS VARCHAR) AS t, 'size ' || CAST(p_size AS VARCHAR) AS paren FROM part),

@@ -82,9 +82,31 @@ def layout_sources(files: DataFrame, patterns: tuple[str, ...] = ("_content_list
 
 def first_existing(wanted: DataFrame, candidates: list[Column], files: DataFrame) -> DataFrame:
     """``wanted`` with ``resolved``: the first of the candidate paths that ``files`` (path) lists."""
-    tried = wanted.withColumn("_try", F.array(*candidates)).withColumn("_key", F.monotonically_increasing_id())
-    hits = tried.select("_key", F.posexplode("_try").alias("at", "path")).join(files.select("path").distinct(), "path")
-    return tried.join(hits.groupBy("_key").agg(F.min_by("path", "at").alias("resolved")), "_key", "left").drop("_try", "_key")
+    # The candidates themselves are the key: a row's answer depends on nothing else.
+    tried = wanted.withColumn("_try", F.array(*candidates))
+    hits = tried.select("_try").distinct().select("_try", F.posexplode("_try").alias("at", "path")).join(files.select("path").distinct(), "path")
+    return tried.join(hits.groupBy("_try").agg(F.min_by("path", "at").alias("resolved")), "_try", "left").drop("_try")
+
+
+_CSL = "id string, title string, `container-title` string, publisher string, DOI string, URL string, author array<struct<family:string,given:string,literal:string>>, issued struct<`date-parts`:array<array<string>>>"
+
+
+def read_csl(spark: SparkSession, path: str) -> DataFrame:
+    """(key, item) of bibliography files in CSL JSON (lists of items), as ``citations.format_csl`` takes them.
+
+    A key that stands twice, or a file that isn't such a list, is an error.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.from_json("value", f"array<struct<{', '.join(c.replace(' ', ':', 1) for c in _CSL.split(', '))}>>").alias("items"))
+    wrong = [r["path"] for r in files.where("items IS NULL").select("path").limit(20).collect()]
+    if wrong:
+        raise ValueError(f"not a list of CSL items: {wrong}")
+    rows = files.select(F.inline("items"))
+    item = F.struct("title", F.col("`container-title`").alias("container_title"), "publisher", "DOI", "URL", "author", F.struct(F.col("issued.`date-parts`").alias("date_parts")).alias("issued"))
+    keyed = rows.select(F.col("id").alias("key"), item.alias("item"))
+    twice = [r["key"] for r in keyed.groupBy("key").count().where("count > 1 OR key IS NULL").orderBy("key").limit(20).collect()]
+    if twice:
+        raise ValueError(f"keys that are missing or stand more than once: {twice}")
+    return keyed
 
 
 def rollout_summary(events: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import sqlite3
 
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import assets, citations, cleaning, figures, knowledge, lines, units, validators, workflow
@@ -361,3 +362,34 @@ def test_tables_are_counted_by_status(spark):
     good, bad = "<table><tr><td>a</td></tr><tr><td>b</td></tr></table>", "<table></table>"
     out = [tuple(r) for r in cleaning.table_triage(notes(spark, good + bad + "</table>", "x")).orderBy("doc_id").collect()]
     assert out == [(0, 2, 1, 1, 1), (1, 0, 0, 0, 0)]
+
+
+def test_merged_notes_keep_all_that_is_no_unit(spark):
+    text = "---\nt: x\n---\n# T\n\nOne\ntwo $a$.\n\n$$\na\n$$\n- item\n![f](f.png)\n\n| a |\n\n> kept\n\nICRA2024\n\n## References\n\n[1] Doe. One. ^ref-1\n\n[2] Roe. Two 《二》 ^ref-2\n"
+    frame = notes(spark, text)
+    results = spark.createDataFrame([(0, "u00001", "一 $a$。"), (0, "u00002", "项")], "doc_id long, unit_id string, zh string")
+    titles = spark.createDataFrame([(0, 1, "一"), (0, 2, "两")], "doc_id long, number int, zh string")
+    row = units.merge_notes(frame, results, titles).first()
+    assert row.text == text.replace("One\ntwo $a$.", "> One\n> two $a$.\n\n一 $a$。").replace("- item", "> - item\n\n- 项").replace("ICRA2024", "> ICRA2024\n\nICRA2024").replace("[1] Doe. One. ^ref-1", "[1] Doe. One.《一》 ^ref-1")
+    assert row.complete
+    open_ = units.merge_notes(frame, results.where("unit_id = 'u00001'")).first()
+    assert not open_.complete and "> - item\n\n- {{ZH:u00002}}" in open_.text
+
+
+def test_csl_files_and_doubled_keys(spark, tmp_path):
+    item = '{"id": "%s", "title": "On <i>tests</i>", "container-title": "J", "author": [{"family": "Doe", "given": "J."}, {"literal": "Team"}], "issued": {"date-parts": [[2001, 3]]}, "DOI": "10.1/x"}'
+    (tmp_path / "a.json").write_text("[" + item % "k1" + "," + item % "k2" + "]")
+    rows = readers.read_csl(spark, str(tmp_path / "a.json")).select("key", citations.format_csl(F.col("item")).alias("entry")).orderBy("key").collect()
+    assert [tuple(r) for r in rows] == [(k, "Doe, J.; Team. On tests. J. 2001. https://doi.org/10.1/x") for k in ("k1", "k2")]
+    for bad in ("[" + item % "k1" + "," + item % "k1" + "]", "no json"):
+        (tmp_path / "b.json").write_text(bad)
+        with pytest.raises(ValueError, match="keys|list"):
+            readers.read_csl(spark, str(tmp_path / "b.json"))
+
+
+def test_downloads_stop_at_their_limit(tmp_path):
+    (tmp_path / "x.png").write_bytes(b"a" * 100_000)
+    address = (tmp_path / "x.png").as_uri()
+    assert len(assets.http_get(address)) == 100_000
+    with pytest.raises(ValueError, match="larger"):
+        assets.http_get(address, most=70_000)
