@@ -54,7 +54,7 @@ class Unit:
     hot_key: int = 2048
     #: Longest stretch of text hashed at once, and bytes of text gathered before a chunk is sent.
     segment: int = 512 << 10
-    flush: int = 8 << 20
+    flush: int = 4 << 20
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -277,7 +277,7 @@ def _content_mapper(unit: Unit, groups: int):
                             body = _earliest(rows, windows, body, doc, x, unit)
                         for c, value in zip(rows, (where % groups if body else x % groups, doc, tag, x, count, body), strict=True):
                             rows[c].append(value)
-                if held > 16 << 20:
+                if held > unit.flush:
                     yield _body_batch(rows)
                     rows, windows, held = {c: [] for c in rows}, {}, 0
             yield _body_batch(rows)

@@ -83,6 +83,7 @@ def purge(spark: SparkSession) -> None:
 BATCH_ROWS = 1000
 _DEFAULTS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", str(BATCH_ROWS)),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m"),
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": ("false", "true"),
 }
 
