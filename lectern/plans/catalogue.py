@@ -23,6 +23,7 @@ from lectern.operators import validators as va
 from lectern.operators import workflow as wf
 from lectern.plans import oracles as sql
 from lectern.sources.markdown_view import markdown_view as notes
+from lectern.sources.readers import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,8 +41,13 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+#: The tables of whole texts, by the column that deals small files out.
+_TEXTS = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows, _TEXTS[name]) if name in _TEXTS else rows
 
 
 def sha(column: str = "text", name: str = "sha256"):

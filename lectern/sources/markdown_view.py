@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.sources.readers import spread
+
 _NL = "chr(10)"
 _ID = "CAST(doc_id AS STRING)"
 
@@ -59,5 +61,5 @@ ORACLE_LINES = ORACLE_MD + ", ln AS (SELECT doc_id, md, unnest(string_split(md,
 
 def markdown_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, path, text) of the view."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
     return docs.select("doc_id", F.expr(f"'notes/' || {_ID} || '.md'").alias("path"), F.expr(EXPRESSION).alias("text"))

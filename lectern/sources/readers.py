@@ -25,6 +25,23 @@ MANIFEST = "schema_version int, artifacts struct<asset_map:string,assets_dir:str
 ROLLOUT = "timestamp string, type string, payload struct<type:string,role:string,path:string,parent:string,model:string,effort:string,text:string,last_agent_message:string>"
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a few small files dealt to all cores by ``key``; other tables as they are read.
+
+    A file within one split is often one row group, which a single task reads and works on.  Less
+    than half the cores' number of such files is dealt out, so that never more than half a split
+    per core is moved.
+    """
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > cores * split // 2:
+        return rows
+    files = len(rows.inputFiles())
+    return rows.repartition(cores, key) if 2 * files < cores and size <= files * split else rows
+
+
 def read_notes(spark: SparkSession, root: str, excluded: tuple[str, ...] = EXCLUDED) -> DataFrame:
     """(path, text, mtime, size) of the Markdown files below ``root``, decoded strictly as UTF-8."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
