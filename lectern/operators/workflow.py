@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Marks of failures that a retry may cure.
-_NETWORK = r"(?i)timed? ?out|connection|network|temporarily|rate limit|\b(?:429|502|503|504)\b"
+#: What a log says, in small letters, where the network failed.
+NETWORK = ("ws401", "websocket", "connection reset", "connection closed", "connection aborted", "https connection", "error sending request", "failed to send request", "unexpected eof", "transport error")
 
 
 def _millis(column: str) -> Column:
@@ -30,17 +30,25 @@ def number_attempts(events: DataFrame) -> DataFrame:
     return events.withColumns({"attempt": F.row_number().over(order).cast("long"), "gap_ms": _millis("ts") - F.lag(_millis("ts")).over(order)})
 
 
-def classify_failure(message: Column, invalid_units: Column) -> Column:
-    """(failure, retryable): timeout or network, process, contract, unit or unknown, in this order."""
-    kind = (
-        F.when(message.rlike(r"(?i)timed? ?out"), "timeout")
-        .when(message.rlike(_NETWORK), "network")
-        .when(message.rlike(r"(?i)exit code|killed|signal"), "process")
-        .when(message.rlike(r"(?i)schema|contract|json"), "contract")
-        .when(invalid_units > 0, "unit")
+def classify_failure(timed_out: Column, exit_code: Column, verified: Column, log: Column, contract_errors: Column, unit_errors: Column) -> Column:
+    """(stage, failure, retryable) of a failed run, by its first symptom; the two last are counts.
+
+    Only a run by something other than what was asked for isn't worth another try.
+    """
+    crashed = exit_code != 0
+    told = F.lower(F.coalesce(log, F.lit("")))
+    network = F.exists(F.array(*(F.lit(m) for m in NETWORK)), lambda m: told.contains(m))
+    failure = (
+        F.when(timed_out, "timeout")
+        .when(crashed & network, "network_transport")
+        .when(crashed, "worker_process")
+        .when(~verified, "runtime_mismatch")
+        .when(contract_errors > 0, "output_contract")
+        .when(unit_errors > 0, "unit_validation")
         .otherwise("unknown")
     )
-    return F.struct(kind.alias("failure"), (kind.isin("timeout", "network") | ((kind == "unit") & (invalid_units < 5))).alias("retryable"))
+    stage = F.when(failure == "runtime_mismatch", "runtime_attestation").when(failure.isin("timeout", "network_transport", "worker_process"), "worker_process").otherwise("output_validation")
+    return F.struct(stage.alias("stage"), failure.alias("failure"), (failure != "runtime_mismatch").alias("retryable"))
 
 
 def should_retry(retryable: Column, attempts: Column, most: int = 2) -> Column:

@@ -16,6 +16,7 @@ from lectern.operators import assets
 from lectern.operators import citations as ci
 from lectern.operators import cleaning as cl
 from lectern.operators import figures as fi
+from lectern.operators import handoff as ho
 from lectern.operators import knowledge as kn
 from lectern.operators import lines as ln
 from lectern.operators import units as un
@@ -106,9 +107,10 @@ def mojibake_repaired(spark, d):
     return fixed.select("doc_id", tx.mojibake_score(F.col("fixed")).alias("residual"), (F.col("fixed") != F.col("text")).alias("changed"))
 
 
-@query("caption_math_normalized")
+@query("caption_math_normalized", sql.CAPTIONS)
 def caption_math_normalized(spark, d):
-    return notes(spark, d).select("doc_id", F.explode(F.filter(F.split(cl.normalize_captions(F.col("text")), "\n"), lambda x: x.rlike("^Fig"))).alias("caption"))
+    report = notes(spark, d).select("doc_id", cl.caption_report(F.col("text")).alias("r"))
+    return report.select("doc_id", sha("r.text"), "r.captions", "r.fixed", F.size("r.residual").cast("long").alias("residual"))
 
 
 @query("frontmatter_fields", sql.FRONTMATTER)
@@ -190,8 +192,7 @@ def citations_linked(spark, d):
 
 @query("citations_linked_text", sql.CITATIONS_TEXT)
 def citations_linked_text(spark, d):
-    rows = ci.link_citations(notes(spark, d)).select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
-    return rows.where(F.col("line").startswith("Prior work "))
+    return ci.link_citations(notes(spark, d)).select("doc_id", sha())
 
 
 @query("author_year_keys", sql.AUTHOR_YEARS)
@@ -252,8 +253,7 @@ def figure_mentions_linked(spark, d):
 @query("figures_linked_text", sql.FIGURES_TEXT)
 def figures_linked_text(spark, d):
     repaired = notes(spark, d).withColumn("text", cl.repair_mixed_images(F.col("text")))
-    rows = fi.link_figures(repaired).select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
-    return rows.where(F.col("line").startswith("See "))
+    return fi.link_figures(repaired).select("doc_id", sha())
 
 
 @query("orphan_fragment_links", sql.ORPHANS)
@@ -503,9 +503,47 @@ def attempts_numbered(spark, d):
 
 @query("failures_classified", sql.FAILURES)
 def failures_classified(spark, d):
-    message = F.expr("CASE event_id % 6 WHEN 0 THEN 'request timed out' WHEN 1 THEN 'connection reset' WHEN 2 THEN 'exit code 3' WHEN 3 THEN 'bad JSON schema' ELSE 'odd' END")
-    rows = table(spark, d, "events").select(wf.classify_failure(message, F.col("event_id") % 7).alias("f"))
-    return rows.groupBy("f.failure", "f.retryable").agg(F.count(F.lit(1)).alias("n"))
+    log = F.expr("CASE event_id % 4 WHEN 0 THEN 'Connection reset by peer' WHEN 1 THEN 'an unexpected EOF' ELSE 'odd' END")
+    n = lambda m: F.col("event_id") % m
+    rows = table(spark, d, "events").select(wf.classify_failure(n(6) == 0, F.when(n(5) == 0, 1).otherwise(0), n(7) != 0, log, n(3), n(2)).alias("f"))
+    return rows.groupBy("f.stage", "f.failure", "f.retryable").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("prepared_validation", sql.PREPARED)
+def prepared_validation(spark, d):
+    repaired = notes(spark, d).withColumn("text", cl.repair_mixed_images(F.col("text")))
+    return ho.validate_prepared(repaired).select("doc_id", "ok", "ready_for_translation", *ho.COUNTERS)
+
+
+@query("final_validation")
+def final_validation(spark, d):
+    before = notes(spark, d)
+    body = ho.frozen_units(before)
+    done = body.where("requires_translation AND unit_order % 7 <> 3").select("doc_id", "unit_id", F.concat(F.lit("译文 "), "unit_id").alias("zh"))
+    titles = ci.reference_entries(before).where("number < 3").select("doc_id", "number", F.lit("题").alias("zh"))
+    merged = un.merge_notes(before, done, titles).select("doc_id", "text")
+    return ho.validate_final(merged, ho.freeze(before), body).select("doc_id", "ok", "placeholders", F.array_join("errors", ",").alias("errors"))
+
+
+@query("assignment_manifests", sql.ASSIGNMENTS)
+def assignment_manifests(spark, d):
+    packets = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("packet"), F.col("n_chars").alias("unit_count"))
+    path = lambda kind: F.concat(F.lit(f"/w/{kind}/"), F.col("doc_id").cast("string"), F.lit(".jsonl"))
+    return ho.assignments(packets, ho.identity("Translate.", "m1", "high", ("c1", "t1")), path("in"), path("out"))
+
+
+@query("leading_math_restored", sql.LEADING_MATH)
+def leading_math_restored(spark, d):
+    source = F.expr("'$' || chr(92) || 'alpha_{' || CAST(doc_id % 3 AS STRING) || '}$ of ' || source")
+    shown = F.expr("CASE doc_id % 4 WHEN 0 THEN 'α' WHEN 1 THEN '<sub>1</sub> ' WHEN 2 THEN 'beta ' ELSE '' END || '的研究 α'")
+    return table(spark, d, "documents").select("doc_id", ho.restore_leading_math(source, shown).alias("title"))
+
+
+@query("config_drift", sql.DRIFT)
+def config_drift(spark, d):
+    rows = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("path"), F.col("c_name").alias("text"))
+    found = table(spark, d, "customer").where("c_custkey % 5 <> 0").select(F.col("c_custkey").cast("string").alias("path"), F.expr("CASE WHEN c_custkey % 7 = 0 THEN 'x' ELSE c_name END").alias("text"))
+    return ho.config_drift(rows, found)
 
 
 @query("incremental_index", sql.INCREMENTAL)

@@ -1,5 +1,6 @@
 """SQL twins of the catalogue's queries, for DuckDB."""
 
+from lectern.operators.handoff import COUNTERS
 from lectern.sources.markdown_view import ORACLE_LINES, ORACLE_MD
 
 _WITH_MD = f"WITH {ORACLE_MD} "
@@ -102,7 +103,23 @@ CITATIONS = (
 SELECT doc_id, n_lines, CAST(3 AS BIGINT) AS n_refs,
   CAST(7 + 1 + 1 + 1 + CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_links, CAST(1 AS BIGINT) AS n_unresolved FROM x"""
 )
-CITATIONS_TEXT = "SELECT doc_id, 'Prior work [[#^ref-1|¹]]<sup>,</sup>[[#^ref-2|²]] and [[#^ref-3|³]] and [[#^ref-1|¹]]<sup>,</sup>[[#^ref-2|²]]<sup>,</sup>[[#^ref-3|³]] but not [9] or ![4] in `code [1]` and $x_[2]$ of [[#^ref-2|²]].' AS line FROM documents"
+_REWRITTEN = {
+    "Prior work [1, 2] and [3] and [1]–[3] but": "Prior work [[#^ref-1|¹]]<sup>,</sup>[[#^ref-2|²]] and [[#^ref-3|³]] and [[#^ref-1|¹]]<sup>,</sup>[[#^ref-2|²]]<sup>,</sup>[[#^ref-3|³]] but",
+    "$x_[2]$ of (Doe et al., 2001).": "$x_[2]$ of [[#^ref-2|²]].",
+    "over 10 10 trials [2].": "over 10 10 trials [[#^ref-2|²]].",
+    "More in [1].": "More in [[#^ref-1|¹]].",
+}
+
+
+def _replaced(text: str, pairs: dict[str, str]) -> str:
+    for old, new in pairs.items():
+        text = f"replace({text}, '{old}', '{new}')"
+    return text
+
+
+CITATIONS_TEXT = _WITH_MD + f"SELECT doc_id, sha256({_replaced('md', _REWRITTEN)}) AS sha256 FROM md"
+CAPTIONS = _WITH_MD + """SELECT doc_id, sha256(replace(md, 'Results over 10 10 trials', 'Results over $10$ trials')) AS sha256, CAST(len(regexp_extract_all(md, '(?m)^\\s*(?:>\\s*)?(?i:Figure|Fig\\.?|图)\\s*[A-Za-z]?\\d+\\s*[:：]')) AS BIGINT) AS captions,
+CAST(1 AS BIGINT) AS fixed, CAST(0 AS BIGINT) AS residual FROM md"""
 AUTHOR_YEARS = """SELECT doc_id, CAST(v.n AS INTEGER) AS number, v.k AS author_key, v.y AS year FROM documents, (VALUES (1, 'smith', '2000'), (2, 'doe', '2001'), (3, 'roe', '2002')) AS v(n, k, y)"""
 NAMED = "SELECT doc_id, v.k AS key, CAST(v.n AS BIGINT) AS nth FROM documents, (VALUES ('doe2001', 1), ('roe2002', 2)) AS v(k, n) WHERE doc_id % 6 = 4"
 NAMED_RESOLVED = "SELECT doc_id, CAST(CASE WHEN doc_id % 6 = 4 THEN 3 ELSE 0 END AS BIGINT) AS n_links, CAST(CASE WHEN doc_id % 6 = 4 THEN 2 ELSE 0 END AS BIGINT) AS n_blocks FROM documents"
@@ -116,8 +133,8 @@ UNION ALL SELECT doc_id, '2', NULL, 'multi_asset' FROM documents WHERE doc_id %
 MENTIONS = """WITH m AS (SELECT doc_id, v.* FROM documents, (VALUES ('range', '-'), ('plural', '1'), ('plural', '2'), ('single', '1'), ('single', '3'), ('single', '1')) AS v(kind, fig)),
 s AS (SELECT doc_id, kind, CASE WHEN kind = 'range' THEN 'range' WHEN fig = '1' THEN 'linked' WHEN fig = '2' AND doc_id % 7 = 2 THEN 'ambiguous_target' ELSE 'missing_target' END AS status FROM m)
 SELECT doc_id, kind, status, count(*) AS n FROM s GROUP BY doc_id, kind, status"""
-FIGURES_TEXT = """WITH f AS (SELECT doc_id, '](images/f' || CAST(doc_id % 9 AS VARCHAR) || '.png)' AS u FROM documents)
-SELECT doc_id, 'See [Figure 1' || u || ', Figs. [1' || u || ' and 2, Figures 1-2 and Fig. 3; [图 1' || u || ' too, not `Figure 1`.' AS line FROM f"""
+FIGURES_TEXT = _WITH_MD + """, f AS (SELECT doc_id, replace(md, '![[fig a]]', '![fig a]') AS md, '](images/f' || CAST(doc_id % 9 AS VARCHAR) || '.png)' AS u FROM md)
+SELECT doc_id, sha256(replace(md, 'See Figure 1, Figs. 1 and 2, Figures 1-2 and Fig.~3; 图 1 too, not', 'See [Figure 1' || u || ', Figs. [1' || u || ' and 2, Figures 1-2 and Fig. 3; [图 1' || u || ' too, not')) AS sha256 FROM f"""
 ORPHANS = "SELECT doc_id, 'fig-9' AS anchor FROM documents"
 ORPHANS_STRIPPED = _WITH_MD + "SELECT doc_id, sha256(replace(md, '[[#fig-9|b]]', 'b')) AS sha256 FROM md"
 BROKEN = """SELECT doc_id, v.reason, CAST(1 AS BIGINT) AS n FROM documents, (VALUES ('absolute_or_external'), ('missing_attachment')) AS v(reason)
@@ -225,8 +242,15 @@ BILINGUAL_LAYOUT = _WITH_UN + "SELECT doc_id, count(*) FILTER (reason IS NULL) A
 DURATIONS = """SELECT user_id AS workflow_id, event_type AS stage, epoch_us(max(ts) FILTER (event_id % 2 = 1)) // 1000 - epoch_us(max(ts) FILTER (event_id % 2 = 0)) // 1000 AS duration_ms FROM events GROUP BY user_id, event_type"""
 STATE = "SELECT user_id AS workflow_id, event_type AS stage, CASE WHEN max_by(event_id, (ts, event_id)) % 2 = 0 THEN 'started' ELSE 'finished' END AS status, count(*) AS n_events FROM events GROUP BY user_id, event_type"
 ATTEMPTS = "SELECT event_id, row_number() OVER w AS attempt, epoch_us(ts) // 1000 - epoch_us(lag(ts) OVER w) // 1000 AS gap_ms FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)"
-FAILURES = """WITH f AS (SELECT CASE event_id % 6 WHEN 0 THEN 'timeout' WHEN 1 THEN 'network' WHEN 2 THEN 'process' WHEN 3 THEN 'contract' ELSE CASE WHEN event_id % 7 > 0 THEN 'unit' ELSE 'unknown' END END AS failure, event_id % 7 AS bad FROM events)
-SELECT failure, failure IN ('timeout', 'network') OR (failure = 'unit' AND bad < 5) AS retryable, count(*) AS n FROM f GROUP BY 1, 2"""
+FAILURES = """WITH f AS (SELECT CASE WHEN event_id % 6 = 0 THEN 'timeout' WHEN event_id % 5 = 0 THEN CASE WHEN event_id % 4 < 2 THEN 'network_transport' ELSE 'worker_process' END
+WHEN event_id % 7 = 0 THEN 'runtime_mismatch' WHEN event_id % 3 > 0 THEN 'output_contract' WHEN event_id % 2 > 0 THEN 'unit_validation' ELSE 'unknown' END AS failure FROM events)
+SELECT CASE WHEN failure = 'runtime_mismatch' THEN 'runtime_attestation' WHEN failure IN ('timeout', 'network_transport', 'worker_process') THEN 'worker_process' ELSE 'output_validation' END AS stage, failure, failure <> 'runtime_mismatch' AS retryable, count(*) AS n FROM f GROUP BY failure"""
+ASSIGNMENTS = """SELECT doc_id, CAST(to_json({'schema_version': 3, 'packet_path': '/w/in/' || doc_id || '.jsonl', 'output_path': '/w/out/' || doc_id || '.jsonl', 'unit_count': n_chars, 'packet_sha256': sha256(coalesce(text, '')),
+'prompt_sha256': sha256('Translate.'), 'translator_fingerprint': sha256('m1' || chr(0) || 'high' || chr(0) || sha256('Translate.') || chr(0) || 'c1' || chr(0) || 't1'), 'constraints_version': 'c1',
+'requested_runtime': {'model': 'm1', 'reasoning_effort': 'high', 'quality_tier': 'publication'}}) AS VARCHAR) AS assignment FROM documents"""
+LEADING_MATH = """WITH s AS (SELECT doc_id, '$' || chr(92) || 'alpha_{' || CAST(doc_id % 3 AS VARCHAR) || '}$' AS tok, CASE doc_id % 4 WHEN 0 THEN 'α' WHEN 1 THEN '<sub>1</sub> ' WHEN 2 THEN 'beta ' ELSE '' END AS pre FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN tok ELSE pre END || '的研究 α' AS title FROM s"""
+DRIFT = "SELECT CAST(c_custkey AS VARCHAR) AS path, CASE WHEN c_custkey % 5 = 0 THEN 'missing' ELSE 'differs' END AS problem FROM customer WHERE c_custkey % 5 = 0 OR c_custkey % 7 = 0"
 INCREMENTAL = "SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id % 4 IN (2, 3) THEN 'reused' ELSE 'read' END AS state FROM documents"
 RETENTION = "SELECT name, label, file FROM (SELECT CAST(o_custkey AS VARCHAR) AS name, o_orderstatus AS label, CAST(o_orderkey AS VARCHAR) AS file, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR) DESC) AS n FROM orders) WHERE n > 2"
 FROZEN = "SELECT c_custkey AS workflow_id, c_mktsegment AS artifact, CASE WHEN c_custkey % 5 = 0 THEN 'missing' ELSE 'changed' END AS problem FROM customer WHERE c_custkey % 5 IN (0, 1)"
@@ -267,3 +291,21 @@ SELECT doc_id, count(*) FILTER (have IS NULL) AS n_missing, count(*) FILTER (wan
 VALID_UNITS = "SELECT CAST(doc_id AS VARCHAR) AS unit_id, '译文' AS zh FROM labels JOIN documents USING (doc_id) WHERE coalesce(toxic <> 1, true) AND coalesce(quality <> 0, true) AND doc_id % 10 <> 3"
 REVIEW = _WITH_MD + """, a AS (SELECT * FROM (VALUES ('references', false), ('ICRA2024', true), ('Paper 1', false)) AS v(surface, exact_))
 SELECT doc_id, surface, n FROM (SELECT doc_id, surface, CAST((length(t) - length(replace(t, s, ''))) / length(s) AS BIGINT) AS n FROM (SELECT doc_id, surface, CASE WHEN exact_ THEN md ELSE lower(md) END AS t, CASE WHEN exact_ THEN surface ELSE lower(surface) END AS s FROM md, a)) WHERE n > 0"""
+
+PREPARED = (
+    _WITH_UN
+    + f""", cf AS ({FOOTNOTES_CLASSIFIED}), fn AS (SELECT doc_id, count(*) AS n FROM cf WHERE is_citation GROUP BY doc_id), fg AS ({FIGURES}), mn AS ({MENTIONS}), mj AS ({MOJIBAKE}),
+tg AS (SELECT doc_id, count(*) FILTER (status = 'unique') AS targets, count(*) FILTER (status <> 'unique') AS ambiguous FROM fg GROUP BY doc_id),
+mm AS (SELECT doc_id, sum(n) FILTER (kind <> 'range') AS mentions, coalesce(sum(n) FILTER (status = 'missing_target'), 0) AS missing FROM mn GROUP BY doc_id),
+uu AS (SELECT doc_id, count(*) AS n, count(*) FILTER (reason IS NULL) AS needed FROM un WHERE english NOT LIKE '![[fig a]]%' GROUP BY doc_id),
+cs AS (SELECT doc_id, coalesce(fn.n, 0) + len(regexp_extract_all(md, '\\\\\\[(?:doe|roe)[^\\]]*\\]')) AS citation_residual, 0 AS caption_math_artifact_residual,
+  len(regexp_extract_all(md, '!\\[[^\\]]*\\]\\(https?:')) AS remote_images, 0 AS planned_remote_images, len(regexp_extract_all(md, '(?i)<table\\b')) AS html_tables, mj.score AS mojibake,
+  len(regexp_extract_all(md, '!\\[[^\\]]*\\]\\([ab]\\.png\\)')) AS invalid_image_paths, CASE WHEN md LIKE '---%' THEN 0 ELSE 1 END AS frontmatter_errors,
+  uu.n AS translation_units, uu.n AS body_translation_units, 0 AS reference_title_units, 0 AS reference_title_fallback_units, uu.n - uu.needed AS passthrough_units, uu.n AS layout_units_total, uu.needed AS model_units_total,
+  len(regexp_extract_all(md, '\\^ref-\\d+\\s*$')) AS reference_blocks, len(regexp_extract_all(md, '\\{{\\{{(?:REF)?ZH:')) AS placeholders, 0 AS protected_token_errors,
+  coalesce(tg.targets, 0) AS figure_targets, mm.mentions AS figure_mentions, 0 AS figure_links_written, mm.missing AS unmatched_figure_mentions, coalesce(tg.ambiguous, 0) AS ambiguous_figure_targets, 0 AS broken_figure_links
+  FROM md JOIN uu USING (doc_id) JOIN mm USING (doc_id) JOIN mj USING (doc_id) LEFT JOIN tg USING (doc_id) LEFT JOIN fn USING (doc_id))
+SELECT doc_id, false AS ok, false AS ready_for_translation, """
+    + ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in COUNTERS)
+    + " FROM cs"
+)

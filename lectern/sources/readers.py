@@ -66,6 +66,26 @@ def read_json_documents(spark: SparkSession, path: str, schema: str, versions: t
     return rows if versions is None else rows.where(F.col("doc.schema_version").isin(*versions))
 
 
+def read_cache(spark: SparkSession, path: str, value: str, version: int) -> DataFrame:
+    """(key, value) of the ``entries`` of versioned JSON caches at ``path``; ``value`` is an entry's schema.
+
+    A cache is only a shortcut: one that is absent, unreadable or of another version is empty.
+    """
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(there):
+        return spark.createDataFrame([], f"key string, value {value}")
+    files = spark.read.text(path, wholetext=True).select(F.from_json("value", f"schema_version int, entries map<string,{value}>").alias("doc"))
+    return files.where(F.col("doc.schema_version") == version).select(F.explode("doc.entries").alias("key", "value"))
+
+
+def read_index(spark: SparkSession, path: str, schema: str, version: int) -> DataFrame:
+    """The rows that ``sinks.write_index`` left at ``path``; none if there are none of this version."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/schema_version={version}/_SUCCESS")
+    if not there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(there):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/schema_version={version}")
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(rows, bad): parsed JSON lines, and (path, value) of lines that aren't objects of the schema; blanks are skipped."""
     raw = spark.read.text(path).where(F.trim("value") != "").select(F.input_file_name().alias("path"), "value")

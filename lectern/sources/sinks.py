@@ -5,6 +5,7 @@ Transforms return DataFrames and write nothing; these are the explicit calls tha
 
 from __future__ import annotations
 
+import hashlib
 import posixpath
 import uuid
 from collections.abc import Iterator
@@ -22,42 +23,65 @@ def valid_note(text: Column) -> Column:
     return (F.octet_length(text) >= 20) & text.rlike(r"\A---\r?\n") & text.rlike(r"(?m)^#\s+\S")
 
 
-def write_notes(notes: DataFrame, root: str, write: bool = False) -> DataFrame:
+def write_notes(notes: DataFrame, root: str, write: bool = False, backup: str | None = None) -> DataFrame:
     """(path, status, sha256) of notes (path, text), path relative to ``root``.
 
-    Status is written, unchanged, invalid, or would_write without ``write``.  Each file is written
-    beside its target and moved into place, so a lost executor leaves the old note; a retried task
-    writes the same bytes.  ``root`` is a URI that every executor reaches.
+    Status is written, unchanged, invalid, conflict, or would_write without ``write``.  Each file is
+    written beside its target and moved into place, so a lost executor leaves the old note; a retried
+    task writes the same bytes.  ``root`` is a URI that every executor reaches.
+
+    Two optional columns guard a write: ``ready`` (a validator's judgement; a note that isn't is
+    invalid) and ``base_sha256`` (what the note was made from; a file that is something else by now
+    is a conflict and stays, and null means that there was no file).  With ``backup`` a file that is
+    replaced stays beside it as ``<name>.bak-<backup>``.
     """
-    rows = notes.select("path", F.col("text"), valid_note(F.col("text")).alias("valid"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    ready = F.coalesce("ready", F.lit(False)) if "ready" in notes.columns else F.lit(True)
+    guarded = "base_sha256" in notes.columns
+    base_hash = F.col("base_sha256") if guarded else F.lit(None).cast("string")
+
+    def put_whole(store: fs.FileSystem, target: str, data: bytes) -> None:
+        part = f"{target}.{uuid.uuid4().hex}.part"
+        with store.open_output_stream(part, compression=None) as out:
+            out.write(data)
+        store.move(part, target)
+
+    rows = notes.select("path", F.col("text"), (valid_note(F.col("text")) & ready).alias("valid"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), base_hash.alias("base"))
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, base = fs.FileSystem.from_uri(root)
         for batch in batches:
             status = []
-            for path, text, valid in zip(batch["path"], batch["text"], batch["valid"], strict=True):
+            for path, text, valid, known in zip(batch["path"], batch["text"], batch["valid"], batch["base"], strict=True):
                 target = posixpath.normpath(posixpath.join(base, path))
                 if not valid or not target.startswith(base.rstrip("/") + "/"):
                     status.append("invalid")
                     continue
-                data = text.encode()
+                data, before = text.encode(), None
                 if store.get_file_info(target).type == fs.FileType.File:
                     with store.open_input_file(target) as old:
-                        if old.read() == data:
-                            status.append("unchanged")
-                            continue
+                        before = old.read()
+                if before == data:
+                    status.append("unchanged")
+                    continue
+                if guarded and known != (None if before is None else hashlib.sha256(before).hexdigest()):
+                    status.append("conflict")
+                    continue
                 if write:
                     store.create_dir(posixpath.dirname(target), recursive=True)
-                    part = f"{target}.{uuid.uuid4().hex}.part"
-                    with store.open_output_stream(part, compression=None) as out:
-                        out.write(data)
-                    store.move(part, target)
+                    if backup is not None and before is not None:
+                        put_whole(store, f"{target}.bak-{backup}", before)
+                    put_whole(store, target, data)
                 status.append("written" if write else "would_write")
             yield pd.DataFrame({"path": batch["path"], "status": status, "sha256": batch["sha256"]})
 
     return rows.mapInPandas(put, _WRITTEN)
 
 
+def write_index(entries: DataFrame, path: str, version: int) -> None:
+    """Replaces the index of this version at ``path``; ``readers.read_index`` reads it, and no other version."""
+    entries.write.mode("overwrite").parquet(f"{path}/schema_version={version}")
+
+
 def packet_lines(units: DataFrame) -> DataFrame:
     """(doc_id, value): one compact JSON object per unit with id, type and its single payload field, for ``write.text``."""
     payload = F.col("english")

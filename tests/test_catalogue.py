@@ -22,11 +22,6 @@ def test_entry_runs(spark):
     assert __spark_entry__.entry(spark).count() == 200
 
 
-def test_captions_keep_values_once(spark, sf):
-    captions = {r.caption for r in catalogue.QUERIES["caption_math_normalized"](spark, sf).collect()}
-    assert captions == {"Figure 1: Results over $10$ trials [2].", "Fig. 2. Two panels."}
-
-
 def test_reference_titles_inferred(spark, sf):
     rows = catalogue.QUERIES["reference_title_inference"](spark, sf).collect()
     assert {(r.title, r.mode) for r in rows if r.number == 1} == {(None, "worker")}

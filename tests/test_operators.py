@@ -168,9 +168,11 @@ def test_line_edits_need_the_exact_line(spark):
 
 
 def test_failure_order(spark):
-    rows = spark.createDataFrame([("timed out", 0), ("502 gateway", 0), ("odd", 3), ("odd", 9)], "m string, n int")
-    out = [tuple(r.f) for r in rows.select(workflow.classify_failure(F.col("m"), F.col("n")).alias("f")).collect()]
-    assert out == [("timeout", True), ("network", True), ("unit", True), ("unit", False)]
+    runs = [(True, 1, False, "websocket", 1, 1), (False, 1, False, "Unexpected EOF", 1, 1), (False, 2, False, None, 1, 1), (False, 0, False, "websocket", 1, 1), (False, 0, True, "", 1, 1), (False, 0, True, "", 0, 9), (False, 0, True, "", 0, 0)]
+    rows = spark.createDataFrame(runs, "late boolean, code int, fine boolean, log string, c int, u int")
+    out = [tuple(r.f) for r in rows.select(workflow.classify_failure(*(F.col(c) for c in rows.columns)).alias("f")).collect()]
+    assert [(f, again) for _, f, again in out] == [("timeout", True), ("network_transport", True), ("worker_process", True), ("runtime_mismatch", False), ("output_contract", True), ("unit_validation", True), ("unknown", True)]
+    assert [s for s, _, _ in out] == ["worker_process"] * 3 + ["runtime_attestation"] + ["output_validation"] * 3
 
 
 def test_readers_and_sinks_round_trip(spark, tmp_path):
