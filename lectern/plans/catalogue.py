@@ -377,7 +377,7 @@ def concept_candidates(spark, d):
 def concept_links(spark, d):
     part = table(spark, d, "part").select("p_partkey", "p_name")
     rows = notes(spark, d).join(part, F.col("doc_id") + 1 == F.col("p_partkey"), "left")
-    text = F.concat("text", F.coalesce(F.concat(F.lit("\n## Concepts\n\nOn "), "p_name", F.lit(" and "), "p_name", F.lit(".\n")), F.lit("")))
+    text = F.concat("text", F.coalesce(F.concat(F.lit("\n## Concepts\n\n论 "), "p_name", F.lit("与 "), "p_name", F.lit(".\n")), F.lit("")))
     return kn.link_concepts(rows.select("doc_id", text.alias("text")), kn.concept_candidates(kn.note_surfaces(_vault(spark, d)))).select("doc_id", "linked")
 
 
@@ -461,7 +461,7 @@ def document_metrics(spark, d):
 
 @query("note_findings", sql.FINDINGS)
 def note_findings(spark, d):
-    return va.note_findings(notes(spark, d)).where(F.col("rule").isin("one_h1", "abstract_h2", "frontmatter_missing", "title_missing", "dangling_links", "block_ids_missing", "named_keys_left", "odd_fences", "odd_display_math", "mojibake")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    return va.note_findings(notes(spark, d)).select("doc_id", "severity", "rule")
 
 
 @query("readiness")

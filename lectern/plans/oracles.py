@@ -186,7 +186,7 @@ SELECT doc_id, true AS complete, sha256(string_agg(piece, {_NL} ORDER BY line_no
 
 CONCEPTS = """
 WITH v AS (SELECT 'concepts/' || p_name || '.md' AS path, p_name AS target, p_name || ' (size ' || CAST(p_size AS VARCHAR) || ')' AS h, p_name, p_brand, p_type || ' ' || CAST(p_partkey AS VARCHAR) AS t, 'size ' || CAST(p_size AS VARCHAR) AS paren FROM part),
-s AS (SELECT path, target, trim(p_name) AS surface, 1 AS rank FROM v UNION SELECT path, target, trim(p_brand), 2 FROM v UNION SELECT path, target, trim(t), 2 FROM v UNION SELECT path, target, trim(paren), 3 FROM v UNION SELECT path, target, trim(p_name), 3 FROM v),
+s AS (SELECT path, target, trim(p_name) AS surface, 1 AS rank FROM v UNION SELECT path, target, trim(p_brand), 2 FROM v UNION SELECT path, target, trim(t), 2 FROM v UNION SELECT path, target, trim(paren), 3 FROM v UNION SELECT path, target, trim(h), 3 FROM v),
 ok AS (SELECT target FROM s GROUP BY target HAVING count(DISTINCT path) = 1),
 f AS (SELECT * FROM s SEMI JOIN ok USING (target) WHERE surface <> '' AND length(surface) >= 3 AND length(surface) <= 80),
 g AS (SELECT surface, count(DISTINCT target) AS n, min(target) AS target, min(rank) AS rank FROM f GROUP BY surface)
@@ -231,11 +231,24 @@ CAST(list_sum(list_transform(string_split(md, '$$'), lambda g: len(regexp_extrac
 CAST(len(string_split(md, '$$')) - 1 AS BIGINT) AS n_display, CAST(len(string_split(md, '![')) - 1 AS BIGINT) AS n_images, CAST(len(string_split(md, '[[#^ref-')) - 1 AS BIGINT) AS n_citations,
 CAST(0 AS BIGINT) AS n_blocks, sha256(md) AS sha256 FROM md"""
 )
-FINDINGS = f"""WITH {ORACLE_MD}, f AS (SELECT doc_id, v.rule FROM documents, (VALUES ('abstract_h2'), ('dangling_links'), ('block_ids_missing')) AS v(rule)
-UNION ALL SELECT doc_id, 'one_h1' FROM documents WHERE doc_id % 6 = 1 UNION ALL SELECT doc_id, 'frontmatter_missing' FROM documents WHERE doc_id % 4 = 3
-UNION ALL SELECT doc_id, 'named_keys_left' FROM documents WHERE doc_id % 6 = 4 UNION ALL SELECT doc_id, 'mojibake' FROM documents WHERE doc_id % 9 = 5
-UNION ALL SELECT doc_id, 'odd_display_math' FROM md WHERE (len(string_split(md, '$$')) - 1) % 2 = 1)
-SELECT rule, count(*) AS n FROM f GROUP BY rule"""
+_FOUND = {
+    "abstract_h2": ("error", "regexp_matches(md, '(?m)^(?:#|#{3,6})\\s+Abstract$')"),
+    "author_years_left": ("warning", "regexp_matches(md, '\\([^()]*et al\\.[^()]*2001\\)')"),
+    "bibliographic_footnotes_left": ("error", "regexp_matches(md, '(?m)^\\[\\^\\d\\]:.*Journal')"),
+    "block_ids_missing": ("error", "regexp_matches(md, '(?m)^\\[1\\] ') AND NOT regexp_matches(md, '(?m)\\^ref-\\d+$')"),
+    "dangling_links": ("error", "contains(md, '[[#^ref-9|')"),
+    "footnotes_of_entries": ("error", "regexp_matches(md, '\\[\\^[123]\\]')"),
+    "frontmatter_missing": ("error", "md NOT LIKE '---%'"),
+    "html_tags": ("warning", "regexp_matches(md, '</?(?:table|tr|td|div|span|nav)\\b')"),
+    "image_outside_roots": ("warning", "regexp_matches(md, '!\\[[^\\]]*\\]\\([^):/]+\\.png\\)')"),
+    "mojibake": ("error", f"({_SCORE}) > 0"),
+    "named_keys_left": ("error", "contains(md, chr(92) || '[doe2001')"),
+    "odd_display_math": ("error", "(len(string_split(md, '$$')) - 1) % 2 = 1"),
+    "odd_dollars": ("warning", "len(regexp_extract_all(replace(replace(md, '$$', ''), chr(92) || '$', ''), '\\$')) % 2 = 1"),
+    "one_h1": ("error", "len(regexp_extract_all(regexp_replace(md, '```[^`]*```', '', 'g'), '(?m)^# ')) <> 1"),
+    "raw_numbers_left": ("error", "contains(md, 'Prior work [1, 2]')"),
+}
+FINDINGS = _WITH_MD + " UNION ALL ".join(f"SELECT doc_id, '{s}' AS severity, '{r}' AS rule FROM md WHERE {c}" for r, (s, c) in _FOUND.items())
 PLACEMENT = "SELECT doc_id, CAST(1 AS BIGINT) AS n, CAST(3 AS BIGINT) AS n_links FROM documents WHERE doc_id % 3 = 1"
 BILINGUAL_LAYOUT = _WITH_UN + "SELECT doc_id, count(*) FILTER (reason IS NULL) AS n_units, count(*) FILTER (reason IS NULL) AS n_found, count(*) FILTER (reason IS NULL) AS n_translated FROM un GROUP BY doc_id"
 

@@ -153,10 +153,35 @@ def test_restore_needs_each_placeholder_once(spark):
 
 
 def test_concepts_once_per_section_longest_first(spark):
-    vault = spark.createDataFrame([("v/Flow.md", "# Flow"), ("v/Flow Matching.md", "# Flow Matching"), ("v/AI.md", "---\naliases: [人工智能]\n---\n# AI x")], "path string, text string")
+    vault = spark.createDataFrame([("v/Flow.md", "# Flow"), ("v/Flow Matching.md", "# Flow Matching"), ("v/AI.md", "---\naliases: [人工智能]\n---\n# AI x"), ("v/GAN.md", "# GAN")], "path string, text string")
     candidates = knowledge.concept_candidates(knowledge.note_surfaces(vault))
-    out = text_of(knowledge.link_concepts(notes(spark, "flow matching and Flow, flow; overflow 人工智能 `Flow`\n## S\nFlow"), candidates))[0]
-    assert out == "[[Flow Matching|flow matching]] and [[Flow]], flow; overflow [[AI|人工智能]] `Flow`\n## S\n[[Flow]]"
+    cases = {
+        # Of a stretch only a surface's first mention counts, and that of Flow lies within a longer one.
+        "论flow matching and Flow; 人工智能": "论[[Flow Matching|flow matching]] and Flow; [[AI|人工智能]]",
+        "overflow 流 flow的 flow\n再 Flow": "overflow 流 [[Flow|flow]]的 flow\n再 Flow",
+        "只 `Flow` https://x.org/Flow $Flow$ [Flow](x)": "只 `Flow` https://x.org/Flow $Flow$ [Flow](x)",
+        "流 Flow\n## S\n流 Flow": "流 [[Flow]]\n## S\n流 [[Flow]]",
+        "Flow without it": "Flow without it",
+        "已 [[a/Flow#b|x]] y\n又 Flow": "已 [[a/Flow#b|x]] y\n又 Flow",
+        "小 gan 大 GAN": "小 gan 大 [[GAN]]",
+        "> 引 Flow\n| 表 Flow |": "> 引 Flow\n| 表 Flow |",
+        "İ流 Flow": "İ流 [[Flow]]",
+        "": "",
+        None: None,
+    }
+    rows = knowledge.link_concepts(notes(spark, *cases), candidates).orderBy("doc_id").collect()
+    assert [r.text for r in rows] == list(cases.values())
+    [latin] = knowledge.link_concepts(notes(spark, "Flow without it"), candidates, chinese_only=False).collect()
+    assert latin.text == "[[Flow]] without it" and latin.linked == 1
+
+
+def test_surfaces_come_from_headings_but_generic_ones_do_not_count(spark):
+    vault = spark.createDataFrame([("v/X y.md", "# A [[b|long]] *name* (one, two)\n### Third（三号）\n#### Fourth"), ("v/None.md", None)], "path string, text string")
+    found = {(r.surface, r.provenance) for r in knowledge.note_surfaces(vault).where("path = 'v/X y.md'").collect()}
+    assert found == {("X y", "stem"), ("A long name (one, two)", "heading"), ("one, two", "heading"), ("one", "heading"), ("two", "heading"), ("Third（三号）", "heading"), ("三号", "heading")}
+    words = {"Robots": True, "ab": True, "RL": False, "MDP": False, "12.5-3": True, "方差": False, "状态": True, "流形": True, "流形学": False, "a b": False, "Banned": True, " ": True}
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", knowledge.generic_surface(F.col("w"), ("banned",)).alias("g"))
+    assert {r.w: r.g for r in rows.collect()} == words
 
 
 def test_line_edits_need_the_exact_line(spark):
