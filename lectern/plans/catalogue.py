@@ -104,7 +104,7 @@ def mojibake_score(spark, d):
 @query("mojibake_repaired", sql.MOJIBAKE_REPAIRED)
 def mojibake_repaired(spark, d):
     fixed = notes(spark, d).withColumn("fixed", py.repair_mojibake("text"))
-    return fixed.select("doc_id", tx.mojibake_score(F.col("fixed")).alias("residual"), (F.col("fixed") != F.col("text")).alias("changed"))
+    return fixed.select("doc_id", tx.mojibake_score(F.col("fixed")).alias("residual"), (F.col("fixed") != F.col("text")).alias("changed"), sha("fixed"))
 
 
 @query("caption_math_normalized", sql.CAPTIONS)
@@ -132,8 +132,7 @@ def bilingual_pairs(spark, d):
 
 @query("bilingual_pairs_collapsed", sql.BILINGUAL_COLLAPSED)
 def bilingual_pairs_collapsed(spark, d):
-    text = cl.collapse_bilingual(F.col("text"))
-    return notes(spark, d).select("doc_id", F.regexp_count(text, F.lit("(?m)^> ")).cast("long").alias("quotes"), F.regexp_count(text, F.lit("(?m)^English ")).cast("long").alias("plain"))
+    return notes(spark, d).select("doc_id", tx.sha256_text(cl.collapse_bilingual(F.col("text"))).alias("sha256"))
 
 
 @query("html_tables_extracted", sql.TABLES)
@@ -171,7 +170,12 @@ def citation_footnotes_classified(spark, d):
 
 @query("footnotes_to_references", sql.FOOTNOTES_MOVED)
 def footnotes_to_references(spark, d):
-    out = ci.footnotes_to_references(notes(spark, d))
+    # Every other note's footnotes have numbers of their own, and one of them is called.
+    text = F.col("text")
+    for old, new in (("[^1]:", "[^11]:"), ("[^3]:", "[^13]:"), ("- item two", "- item two[^11]")):
+        text = F.replace(text, F.lit(old), F.lit(new))
+    renumbered = notes(spark, d).withColumn("text", F.when(F.col("doc_id") % 10 == 2, text).otherwise(F.col("text")))
+    out = ci.footnotes_to_references(renumbered)
     return out.select("doc_id", F.array_join(F.transform("conflicts", lambda c: c.cast("string")), ",").alias("conflicts"), sha())
 
 
@@ -182,7 +186,7 @@ def reference_entries(spark, d):
 
 @query("references_structured", sql.REFERENCES_STRUCTURED)
 def references_structured(spark, d):
-    return notes(spark, d).select("doc_id", F.regexp_count(ci.structure_references(F.col("text")), F.lit(r"(?m) \^ref-\d+$")).cast("long").alias("n_blocks"))
+    return notes(spark, d).select("doc_id", tx.sha256_text(ci.structure_references(F.col("text"))).alias("sha256"))
 
 
 @query("citations_linked", sql.CITATIONS)
@@ -209,7 +213,7 @@ def named_citation_keys_ranked(spark, d):
 def named_citations_resolved(spark, d):
     entries = spark.createDataFrame([("doe2001", "Doe. One. 2001"), ("roe2002", "Roe. Two. 2002")], "key string, entry string")
     out, _ = ci.resolve_named(notes(spark, d), entries)
-    return out.select("doc_id", F.regexp_count("text", F.lit(r"\[\[#\^ref-[45]\|")).cast("long").alias("n_links"), F.regexp_count("text", F.lit(r"(?m) \^ref-[45]$")).cast("long").alias("n_blocks"))
+    return out.select("doc_id", sha())
 
 
 @query("dangling_citations", sql.DANGLING)
@@ -219,7 +223,7 @@ def dangling_citations(spark, d):
 
 @query("subject_labels_unescaped", sql.SUBJECTS)
 def subject_labels_unescaped(spark, d):
-    return notes(spark, d).select("doc_id", F.regexp_count(ci.unescape_subjects(F.col("text")), F.lit(r"(?<!\\)\[cs\.LG\]")).cast("long").alias("n_plain"))
+    return notes(spark, d).select("doc_id", tx.sha256_text(ci.unescape_subjects(F.col("text"))).alias("sha256"))
 
 
 @query("table_pipes_escaped", sql.PIPES)
@@ -230,9 +234,7 @@ def table_pipes_escaped(spark, d):
 @query("citations_normalized", sql.NORMALIZED)
 def citations_normalized(spark, d):
     entries = spark.createDataFrame([("doe2001", "Doe. One. 2001"), ("roe2002", "Roe. Two. 2002")], "key string, entry string")
-    out = ci.normalize_citations(notes(spark, d), entries)
-    n = lambda p: F.regexp_count("text", F.lit(p)).cast("long")
-    return out.select("doc_id", n(r"(?m) \^ref-\d+$").alias("n_blocks"), n(r"\\\[doe2001").alias("n_named_left"), n(r"\\\[cs").alias("n_subjects_left"), n(r"\^ref-1\\\|").alias("n_escaped"))
+    return ci.normalize_citations(notes(spark, d), entries).select("doc_id", sha())
 
 
 # --- figures --------------------------------------------------------------------------------

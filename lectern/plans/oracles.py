@@ -7,6 +7,39 @@ _WITH_MD = f"WITH {ORACLE_MD} "
 _WITH_LN = f"WITH {ORACLE_LINES} "
 _NL = "chr(10)"
 
+
+
+def _replaced(text: str, pairs: dict[str, str]) -> str:
+    """SQL of a text with each of the pairs replaced, in order."""
+    for old, new in pairs.items():
+        text = f"replace({text}, '{old}', '{new}')"
+    return text
+
+
+#: What the rewrites make of the view's own lines.
+_REWRITTEN = {
+    "Prior work [1, 2] and [3] and [1]–[3] but": "Prior work [[#^ref-1|¹]]<sup>,</sup>[[#^ref-2|²]] and [[#^ref-3|³]] and [[#^ref-1|¹]]<sup>,</sup>[[#^ref-2|²]]<sup>,</sup>[[#^ref-3|³]] but",
+    "$x_[2]$ of (Doe et al., 2001).": "$x_[2]$ of [[#^ref-2|²]].",
+    "over 10 10 trials [2].": "over 10 10 trials [[#^ref-2|²]].",
+    "More in [1].": "More in [[#^ref-1|¹]].",
+}
+_STRUCTURED = {
+    "2000.\n\n[2] Doe, J. A study of\nlonger things. arXiv 2001.\n[3] Roe": "2000. ^ref-1\n\n[2] Doe, J. A study of longer things. arXiv 2001. ^ref-2\n\n[3] Roe",
+    "\\[cs.LG\\]\n\n## Appendix": "\\[cs.LG\\] ^ref-3\n\n## Appendix",
+}
+_SUBJECT = {"\\[cs.LG\\]": "[cs.LG]"}
+_NAMED = {
+    "As \\[doe2001\\] and \\[roe2002, doe2001\\] show.": "As [[#^ref-4|⁴]] and [[#^ref-5|⁵]]<sup>,</sup>[[#^ref-4|⁴]] show.",
+    "\\[cs.LG\\]\n\n## Appendix": "\\[cs.LG\\]\n\n[4] Doe. One. 2001 ^ref-4\n\n[5] Roe. Two. 2002 ^ref-5\n\n## Appendix",
+}
+_PIPES = {"| a | [[#^ref-1|¹]] |": "| a | [[#^ref-1\\|¹]] |"}
+_MOVED = {
+    "[^1]: J. Doe, A study of things. Journal of X, 2001.\n": "",
+    "[^3]: A. Roe, Other things. arXiv, 2003.\n": "",
+    "- item two": "- item two[[#^ref-11|¹¹]]",
+    "\\[cs.LG\\]\n\n## Appendix": "\\[cs.LG\\]\n\n[11] J. Doe, A study of things. Journal of X, 2001. ^ref-11\n\n[13] A. Roe, Other things. arXiv, 2003. ^ref-13\n\n## Appendix",
+}
+
 LINES = _WITH_LN + "SELECT doc_id, line_no, line FROM ln"
 
 #: Regions by counting toggles: frontmatter, fences, display math, HTML tables, references.
@@ -58,7 +91,7 @@ SELECT page_id, count(*) FILTER (noise) AS n_removed, CAST(coalesce(length(strin
 _MARKERS = ("鍙", "浜", "琛", "璁", "鏈", "鈥", "銆", "�", "Ã", "Â", "â€")
 _SCORE = " + ".join(f"CAST((length(md) - length(replace(md, '{m}', ''))) / {len(m)} AS BIGINT)" for m in _MARKERS)
 MOJIBAKE = _WITH_MD + f"SELECT doc_id, CAST({_SCORE} AS BIGINT) AS score FROM md"
-MOJIBAKE_REPAIRED = "SELECT doc_id, CAST(0 AS BIGINT) AS residual, doc_id % 9 = 5 AS changed FROM documents"
+MOJIBAKE_REPAIRED = _WITH_MD + "SELECT doc_id, CAST(0 AS BIGINT) AS residual, doc_id % 9 = 5 AS changed, sha256(replace(md, 'cafÃ© au lait', 'café au lait')) AS sha256 FROM md"
 FRONTMATTER = """SELECT doc_id, CASE WHEN doc_id % 4 <> 3 THEN 'Paper ' || CAST(doc_id AS VARCHAR) END AS title,
 CASE WHEN doc_id % 4 <> 3 THEN 'P' || CAST(doc_id AS VARCHAR) || ';Paper ' || CAST(doc_id AS VARCHAR) || ' notes' ELSE '' END AS aliases, CASE WHEN doc_id % 4 <> 3 THEN 'paper;t' || CAST(doc_id % 7 AS VARCHAR) ELSE '' END AS tags FROM documents"""
 FRONTMATTER_ENSURED = (
@@ -68,7 +101,7 @@ SELECT doc_id, sha256(CASE WHEN doc_id % 4 <> 3 THEN '---' || {_NL} || substr(md
 ELSE '---' || {_NL} || 'title: ' || title || {_NL} || 'aliases: [' || title || ']' || {_NL} || 'status: "clean"' || {_NL} || '---' || {_NL} || {_NL} || md END) AS sha256 FROM t"""
 )
 BILINGUAL = "SELECT doc_id, e.english, e.chinese FROM documents, (VALUES ('English one.', '中文一。'), ('English two.', '中文二。'), ('English three.', '中文三。')) AS e(english, chinese) WHERE doc_id % 10 = 6"
-BILINGUAL_COLLAPSED = "SELECT doc_id, CAST(0 AS BIGINT) AS quotes, CAST(CASE WHEN doc_id % 10 = 6 THEN 3 ELSE 0 END AS BIGINT) AS plain FROM documents"
+BILINGUAL_COLLAPSED = _WITH_MD + "SELECT doc_id, sha256(regexp_replace(md, '> (English (?:one|two|three)\\.)\\n\\n中文[一二三]。', '\\1' || chr(10) || chr(10), 'g')) AS sha256 FROM md"
 TABLES = (
     _WITH_LN
     + f"""SELECT doc_id, CAST(1 AS BIGINT) AS table_no, min(line_no) AS start_line, CAST(min(line_no) + CASE WHEN doc_id % 8 = 3 THEN 3 ELSE 0 END AS BIGINT) AS end_line,
@@ -92,41 +125,29 @@ s AS (SELECT doc_id, label, regexp_matches(content, '(?i)\\b(?:arxiv|doi|isbn|pr
 o AS (SELECT *, (year AND (signal OR author)) OR (author AND signal) AS own FROM s),
 g AS (SELECT doc_id, max(label) - min(label) + 1 = count(*) AS whole, count(*) AS n, avg(CAST(own AS INTEGER)) AS owns FROM o GROUP BY doc_id)
 SELECT doc_id, label, own OR (whole AND n >= 3 AND owns >= 0.6 AND signal) AS is_citation FROM o JOIN g USING (doc_id)"""
-# The moved labels 1 and 3 collide with existing entries, so these notes stay as they are.
-FOOTNOTES_MOVED = _WITH_MD + "SELECT doc_id, CASE WHEN doc_id % 5 = 2 THEN '1,3' ELSE '' END AS conflicts, sha256(md) AS sha256 FROM md"
+# Labels 1 and 3 collide with existing entries, so notes that keep them stay as they are; 11 and 13 move.
+FOOTNOTES_MOVED = _WITH_MD + f"SELECT doc_id, CASE WHEN doc_id % 10 = 7 THEN '1,3' ELSE '' END AS conflicts, sha256(CASE WHEN doc_id % 10 = 2 THEN {_replaced('md', _MOVED)} ELSE md END) AS sha256 FROM md"
 REFERENCES = """SELECT doc_id, CAST(v.n AS INTEGER) AS number, replace(v.entry, '@', CAST(doc_id AS VARCHAR)) AS entry FROM documents,
 (VALUES (1, 'Smith, A. and Lee, B. Learning things. Journal of Tests, 2000.'), (2, 'Doe, J. A study of longer things. arXiv 2001.'), (3, 'Roe, R. Notes @. 2002. ' || chr(92) || '[cs.LG' || chr(92) || ']')) AS v(n, entry)"""
-REFERENCES_STRUCTURED = "SELECT doc_id, CAST(3 AS BIGINT) AS n_blocks FROM documents"
+REFERENCES_STRUCTURED = _WITH_MD + f"SELECT doc_id, sha256({_replaced('md', _STRUCTURED)}) AS sha256 FROM md"
 CITATIONS = (
     _WITH_LN
     + r""", x AS (SELECT doc_id, count(*) AS n_lines FROM ln GROUP BY doc_id)
 SELECT doc_id, n_lines, CAST(3 AS BIGINT) AS n_refs,
   CAST(7 + 1 + 1 + 1 + CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_links, CAST(1 AS BIGINT) AS n_unresolved FROM x"""
 )
-_REWRITTEN = {
-    "Prior work [1, 2] and [3] and [1]–[3] but": "Prior work [[#^ref-1|¹]]<sup>,</sup>[[#^ref-2|²]] and [[#^ref-3|³]] and [[#^ref-1|¹]]<sup>,</sup>[[#^ref-2|²]]<sup>,</sup>[[#^ref-3|³]] but",
-    "$x_[2]$ of (Doe et al., 2001).": "$x_[2]$ of [[#^ref-2|²]].",
-    "over 10 10 trials [2].": "over 10 10 trials [[#^ref-2|²]].",
-    "More in [1].": "More in [[#^ref-1|¹]].",
-}
-
-
-def _replaced(text: str, pairs: dict[str, str]) -> str:
-    for old, new in pairs.items():
-        text = f"replace({text}, '{old}', '{new}')"
-    return text
-
-
 CITATIONS_TEXT = _WITH_MD + f"SELECT doc_id, sha256({_replaced('md', _REWRITTEN)}) AS sha256 FROM md"
 CAPTIONS = _WITH_MD + """SELECT doc_id, sha256(replace(md, 'Results over 10 10 trials', 'Results over $10$ trials')) AS sha256, CAST(len(regexp_extract_all(md, '(?m)^\\s*(?:>\\s*)?(?i:Figure|Fig\\.?|图)\\s*[A-Za-z]?\\d+\\s*[:：]')) AS BIGINT) AS captions,
 CAST(1 AS BIGINT) AS fixed, CAST(0 AS BIGINT) AS residual FROM md"""
 AUTHOR_YEARS = """SELECT doc_id, CAST(v.n AS INTEGER) AS number, v.k AS author_key, v.y AS year FROM documents, (VALUES (1, 'smith', '2000'), (2, 'doe', '2001'), (3, 'roe', '2002')) AS v(n, k, y)"""
 NAMED = "SELECT doc_id, v.k AS key, CAST(v.n AS BIGINT) AS nth FROM documents, (VALUES ('doe2001', 1), ('roe2002', 2)) AS v(k, n) WHERE doc_id % 6 = 4"
-NAMED_RESOLVED = "SELECT doc_id, CAST(CASE WHEN doc_id % 6 = 4 THEN 3 ELSE 0 END AS BIGINT) AS n_links, CAST(CASE WHEN doc_id % 6 = 4 THEN 2 ELSE 0 END AS BIGINT) AS n_blocks FROM documents"
+NAMED_RESOLVED = _WITH_MD + f"SELECT doc_id, sha256(CASE WHEN doc_id % 6 = 4 THEN {_replaced('md', _NAMED)} ELSE md END) AS sha256 FROM md"
 DANGLING = "SELECT doc_id, CAST(9 AS INTEGER) AS number FROM documents"
-SUBJECTS = "SELECT doc_id, CAST(1 AS BIGINT) AS n_plain FROM documents"
+SUBJECTS = _WITH_MD + f"SELECT doc_id, sha256({_replaced('md', _SUBJECT)}) AS sha256 FROM md"
 PIPES = _WITH_MD + "SELECT doc_id, sha256(replace(md, '| a | [[#^ref-1|¹]] |', '| a | [[#^ref-1' || chr(92) || '|¹]] |')) AS sha256 FROM md"
-NORMALIZED = "SELECT doc_id, CAST(CASE WHEN doc_id % 6 = 4 THEN 5 ELSE 3 END AS BIGINT) AS n_blocks, CAST(0 AS BIGINT) AS n_named_left, CAST(0 AS BIGINT) AS n_subjects_left, CAST(1 AS BIGINT) AS n_escaped FROM documents"
+_ALL = _REWRITTEN | _PIPES | {k.replace("\\[cs.LG\\]", "[cs.LG]"): v.replace("\\[cs.LG\\]", "[cs.LG]") for k, v in _STRUCTURED.items()}
+_ALL_NAMED = _ALL | {"[cs.LG] ^ref-3\n\n## Appendix": "[cs.LG] ^ref-3\n\n[4] Doe. One. 2001 ^ref-4\n\n[5] Roe. Two. 2002 ^ref-5\n\n## Appendix"} | dict([next(iter(_NAMED.items()))])
+NORMALIZED = _WITH_MD + f"SELECT doc_id, sha256(CASE WHEN doc_id % 6 = 4 THEN {_replaced(_replaced('md', _SUBJECT), _ALL_NAMED)} ELSE {_replaced(_replaced('md', _SUBJECT), _ALL)} END) AS sha256 FROM md"
 
 FIGURES = """SELECT doc_id, '1' AS figure_id, 'images/f' || CAST(doc_id % 9 AS VARCHAR) || '.png' AS target, 'unique' AS status FROM documents
 UNION ALL SELECT doc_id, '2', NULL, 'multi_asset' FROM documents WHERE doc_id % 7 = 2"""

@@ -420,3 +420,23 @@ def test_downloads_stop_at_their_limit(tmp_path):
     assert len(assets.http_get(address)) == 100_000
     with pytest.raises(ValueError, match="larger"):
         assets.http_get(address, most=70_000)
+
+
+def test_bilingual_notes_get_their_english_back(spark):
+    pair = lambda n: f"> English {n}.\n> more {n}\n\n中文 {n}。"
+    three, layout = "\n\n".join(map(pair, "abc")), "---\nbilingual_layout: english_blockquote_chinese_body\n---\n"
+    cases = {
+        three: "\n\n".join(f"English {n}.\nmore {n}\n\n" for n in "abc"),
+        # Two pairs are too few, unless the note declares the layout; headings and images are no translation.
+        pair("a") + "\n\n" + pair("b"): pair("a") + "\n\n" + pair("b"),
+        layout + pair("a"): layout + "English a.\nmore a\n\n",
+        layout + "> q\n\n# 中": layout + "> q\n\n# 中",
+        layout + "> q\n\n \n\n中\n文\n\nend": layout + "q\n\n \n\n\n\nend",
+        layout + "> q\nplain\n\n中": layout + "> q\nplain\n\n中",
+        layout + ">\n\n中": layout + ">\n\n中",
+        "": "",
+        None: None,
+    }
+    out = notes(spark, *cases).withColumn("text", cleaning.collapse_bilingual(F.col("text")))
+    assert text_of(out) == list(cases.values())
+    assert [tuple(r)[1:] for r in cleaning.bilingual_pairs(notes(spark, layout + pair("a"), "x", None)).collect()] == [("English a.\nmore a", "中文 a。")]
