@@ -160,6 +160,37 @@ def workflow_record(least: int = 10):
     return measure, lambda m: [("error", "provenance_missing", m("lost"), None)]
 
 
+#: How files of image formats begin, in hexadecimal.
+SIGNATURES = ("89504E470D0A1A0A", "FFD8FF", "474946383761", "474946383961", "424D", "49492A00", "4D4D002A", "52494646........57454250", "0000....66747970(?:61766966|61766973|68656963|6D696631)")
+
+
+def image_problems(notes: DataFrame, files: DataFrame, roots: tuple[str, ...] = ("_resources", "_附件"), remote_allowed: bool = False) -> DataFrame:
+    """(doc_id, source, problem) of images of notes (doc_id, path, text) that don't hold.
+
+    ``files`` has the vault's files (path, content), of which the first bytes are read.  Problems,
+    the first that fits: absolute, outside (of the resource folders, seen from the note's folder),
+    missing, undecodable (not one known image format; SVG isn't one, as for an image decoder).
+    """
+    folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    sources = F.array_distinct(F.transform(find_all(F.col("text"), r"!\[[^\]]*\]\(([^)\r\n]+)\)", 1), lambda s: F.regexp_replace(s, r"^[<>]+|[<>]+$", "")))
+    asked = notes.select("doc_id", folder.alias("folder"), F.explode(sources).alias("source"))
+    remote = F.col("source").rlike(r"(?i)^(?:https?:|data:|#)")
+    if remote_allowed:
+        asked = asked.where(~remote)
+    step = lambda s, p: F.when((p == "..") & (F.size(s) > 0) & (F.element_at(F.concat(F.array(F.lit("..")), s), -1) != ".."), F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0)))).otherwise(F.array_append(s, p))
+    walked = F.aggregate(F.filter(F.split(F.concat_ws("/", "folder", "source"), "/"), lambda p: ~p.isin("", ".")), F.array().cast("array<string>"), step)
+    asked = asked.withColumn("resolved", F.array_join(walked, "/"))
+    held = files.select(F.col("path").alias("resolved"), F.hex(F.substring("content", 1, 16)).alias("head"), F.lit(True).alias("there")).dropDuplicates(["resolved"])
+    inside = F.exists(F.array(*(F.lit(f"{r}/") for r in roots)), lambda r: F.col("resolved").startswith(r))
+    problem = (
+        F.when(F.col("source").rlike(r"^(?:[A-Za-z]:[\\/]|/)"), "absolute")
+        .when(remote | ~inside, "outside")
+        .when(F.col("there").isNull(), "missing")
+        .when(~F.coalesce(F.col("head"), F.lit("")).rlike(f"^(?:{'|'.join(SIGNATURES)})"), "undecodable")
+    )
+    return asked.join(held, "resolved", "left").select("doc_id", "source", problem.alias("problem")).where("problem IS NOT NULL")
+
+
 def validate_headings(notes: DataFrame) -> DataFrame:
     return _findings(notes, HEADINGS)
 

@@ -440,3 +440,41 @@ def test_bilingual_notes_get_their_english_back(spark):
     out = notes(spark, *cases).withColumn("text", cleaning.collapse_bilingual(F.col("text")))
     assert text_of(out) == list(cases.values())
     assert [tuple(r)[1:] for r in cleaning.bilingual_pairs(notes(spark, layout + pair("a"), "x", None)).collect()] == [("English a.\nmore a", "中文 a。")]
+
+
+def test_cards_get_their_frontmatter(spark):
+    fields = 'translation_workflow: "controlled-worker-pending"\ntranslation_status: "pending"\ntranslation_skill: "sk"\n'
+    lay = 'bilingual_layout: "english_blockquote_chinese_body"\n'
+    card = lambda front: f"---\n{front}---\n# T $1\n"
+    cases = {
+        "\ufeff\n# A \"b\"\nx": f'---\ntitle: "A \'b\'"\naliases:\n  - "A \'b\'"\ntags:\n  - paper\ncssclasses:\n  - wide\n{fields}{lay}---\n\n# A "b"\nx',
+        "x": f'---\ntitle: "Fall"\naliases:\n  - "Fall"\ntags:\n  - paper\ncssclasses:\n  - wide\n{fields}{lay}---\n\n# Fall\n\nx',
+        card("aliases: []\ncssclasses: [a, b]\n"): card(f'title: "T $1"\naliases:\n  - "T $1"\ncssclasses: [a, b, wide]\n{fields}{lay}'),
+        card("title: k\naliases:\n  - z\ncssclasses: one\ntranslation_status: done\n"): card('title: k\naliases:\n  - z\ncssclasses:\n  - one\n  - wide\ntranslation_status: "pending"\ntranslation_workflow: "controlled-worker-pending"\ntranslation_skill: "sk"\n' + lay),
+        card("title: k\naliases: null\ncssclasses:\n  - wide\n"): card(f'title: k\naliases:\n  - "T $1"\ncssclasses:\n  - wide\n{fields}{lay}'),
+        card("title: k\naliases: w\ncssclasses:\n  - a\n"): card(f"title: k\naliases: w\ncssclasses:\n  - wide\n  - a\n{fields}{lay}"),
+        None: None,
+    }
+    made = lambda **how: notes(spark, *cases).withColumn("text", cleaning.card_frontmatter(F.col("text"), F.lit("Fall"), "sk", "wide", **how))
+    assert text_of(made()) == list(cases.values())
+    plain = text_of(made(bilingual=False))
+    assert all('translation_status: "not-requested"' in x and "bilingual_layout" not in x for x in plain if x)
+    # A second pass changes nothing.
+    assert text_of(made().withColumn("text", cleaning.card_frontmatter(F.col("text"), F.lit("Fall"), "sk", "wide"))) == list(cases.values())
+
+
+def test_images_must_be_there_and_be_images(spark):
+    text = "![a](../_resources/a.png) ![b](<../_resources/b.png>) ![c](../_resources/c.png) ![d](/d.png) ![e](e.png) ![f](https://x/f.png) ![g](../../_resources/a.png) ![w](../_resources/w.webp)"
+    rows = spark.createDataFrame([(0, "n/a.md", text), (1, "b.md", "![a](_resources/a.png)"), (2, "c.md", None)], "doc_id long, path string, text string")
+    png, webp = bytes.fromhex("89504E470D0A1A0A00"), b"RIFF1234WEBPVP8 "
+    files = spark.createDataFrame([("_resources/a.png", png), ("_resources/b.png", b"text"), ("_resources/w.webp", webp)], "path string, content binary")
+    found = {(r.doc_id, r.source): r.problem for r in validators.image_problems(rows, files).collect()}
+    assert found == {(0, "../_resources/b.png"): "undecodable", (0, "../_resources/c.png"): "missing", (0, "/d.png"): "absolute", (0, "e.png"): "outside", (0, "https://x/f.png"): "outside", (0, "../../_resources/a.png"): "outside"}
+    assert (0, "https://x/f.png") not in {(r.doc_id, r.source) for r in validators.image_problems(rows, files, remote_allowed=True).collect()}
+
+
+def test_cache_of_another_runtime_is_no_hit_when_strict(spark):
+    rows = [("k", "一", True, "high", 1, "m1", "High"), ("k", "二", True, "high", 2, "m2", "low"), ("j", "三", False, "high", 3, "m1", "high")]
+    cache = spark.createDataFrame(rows, "cache_key string, zh string, runtime_verified boolean, quality_tier string, seq long, actual_model string, actual_reasoning_effort string")
+    assert [tuple(r) for r in units.eligible_cache(cache).collect()] == [("k", "二")]
+    assert [tuple(r) for r in units.eligible_cache(cache, "low", "m1", "high").collect()] == [("k", "一")]
