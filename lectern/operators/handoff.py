@@ -96,7 +96,7 @@ def _per_note(notes: DataFrame, files: DataFrame | None) -> DataFrame:
     front = F.col("rule").isin("frontmatter_missing", "frontmatter_not_first", "title_missing", "windows_path")
     paths = F.when(F.col("rule").isin("absolute_image", "image_outside_roots"), F.col("detail").cast("long"))
     findings = found.groupBy("doc_id").agg(named("error").alias("f_errors"), named("warning").alias("f_warnings"), F.count_if(front).alias("frontmatter_errors"), F.sum(paths).alias("invalid_image_paths"))
-    labels = ci.classify_footnotes(ci.footnote_definitions(ln.lines(notes))).where("is_citation").groupBy("doc_id").agg(F.count(F.lit(1)).alias("footnotes"))
+    labels = ci.classify_footnotes(ci.footnote_definitions(ln.lines(ci.with_footnotes(notes)))).where("is_citation").groupBy("doc_id").agg(F.count(F.lit(1)).alias("footnotes"))
     targets = figures.figure_targets(notes)
     held = targets.groupBy("doc_id").agg(F.count_if(F.col("status") == "unique").alias("figure_targets"), F.count_if(F.col("status") != "unique").alias("ambiguous_figure_targets"))
     named_figures = figures.mentions(ln.lines(notes), targets).groupBy("doc_id").agg(

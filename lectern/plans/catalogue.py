@@ -160,12 +160,12 @@ def unmatched_table_tags(spark, d):
 
 @query("footnote_definitions", sql.FOOTNOTES)
 def footnote_definitions(spark, d):
-    return ci.footnote_definitions(ln.lines(notes(spark, d))).select("doc_id", "label", "content", "quoted")
+    return ci.footnote_definitions(ln.lines(ci.with_footnotes(notes(spark, d)))).select("doc_id", "label", "content", "quoted")
 
 
 @query("citation_footnotes_classified", sql.FOOTNOTES_CLASSIFIED)
 def citation_footnotes_classified(spark, d):
-    return ci.classify_footnotes(ci.footnote_definitions(ln.lines(notes(spark, d))))
+    return ci.classify_footnotes(ci.footnote_definitions(ln.lines(ci.with_footnotes(notes(spark, d)))))
 
 
 @query("footnotes_to_references", sql.FOOTNOTES_MOVED)
@@ -466,7 +466,7 @@ def note_findings(spark, d):
     return va.note_findings(notes(spark, d)).select("doc_id", "severity", "rule")
 
 
-@query("readiness")
+@query("readiness", sql.READINESS)
 def readiness(spark, d):
     return va.readiness(notes(spark, d))
 

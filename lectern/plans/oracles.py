@@ -270,6 +270,8 @@ _FOUND = {
     "raw_numbers_left": ("error", "contains(md, 'Prior work [1, 2]')"),
 }
 FINDINGS = _WITH_MD + " UNION ALL ".join(f"SELECT doc_id, '{s}' AS severity, '{r}' AS rule FROM md WHERE {c}" for r, (s, c) in _FOUND.items())
+_OF = {kind: " + ".join(f"CAST({c} AS BIGINT)" for s, c in _FOUND.values() if s == kind) for kind in ("error", "warning")}
+READINESS = _WITH_MD + f"SELECT doc_id, {_OF['error']} AS n_errors, {_OF['warning']} AS n_warnings, {_OF['error']} = 0 AS ready FROM md"
 PLACEMENT = "SELECT doc_id, CAST(1 AS BIGINT) AS n, CAST(3 AS BIGINT) AS n_links FROM documents WHERE doc_id % 3 = 1"
 BILINGUAL_LAYOUT = _WITH_UN + "SELECT doc_id, count(*) FILTER (reason IS NULL) AS n_units, count(*) FILTER (reason IS NULL) AS n_found, count(*) FILTER (reason IS NULL) AS n_translated FROM un GROUP BY doc_id"
 
