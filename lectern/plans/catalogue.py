@@ -366,7 +366,7 @@ def merged_notes(spark, d):
 
 def _vault(spark, d) -> DataFrame:
     """One concept note per part, named as the part is, with its brand as an alias."""
-    part = table(spark, d, "part")
+    part = spread(table(spark, d, "part"), "p_partkey")
     return part.select(F.expr("'concepts/' || p_name || '.md'").alias("path"), F.expr("'---' || chr(10) || 'aliases: [' || p_brand || ', ' || p_type || ' ' || CAST(p_partkey AS STRING) || ']' || chr(10) || '---' || chr(10) || '# ' || p_name || ' (size ' || CAST(p_size AS STRING) || ')' || chr(10)").alias("text"))
 
 

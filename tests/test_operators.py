@@ -175,6 +175,20 @@ def test_concepts_once_per_section_longest_first(spark):
     assert latin.text == "[[Flow]] without it" and latin.linked == 1
 
 
+def test_concepts_of_a_dictionary_too_large_to_send(spark, monkeypatch):
+    names = [("Flow", "F"), ("Flow Matching", "M"), ("flow", "f"), ("GAN", "G"), ("人工智能", "AI"), ("工_", "U"), ("C++", "C"), ("2k run", "K"), ("2", "T"), ("Σ流", "S"), ("STANDARD 12", "P"), ("STANDARD 120", "Q"), ("trail ", "R"), ("absent", "A")]
+    candidates = spark.createDataFrame([(s, t, "stem", True) for s, t in names], "surface string, target string, provenance string, auto_write boolean")
+    texts = ["论flow matching, Flow; 人工智能", "论 Flow\n## S\n流 FLOW matching", "小 gan 大 GAN", "工__ 与 c++ 与 2\u212a run", "又 2\u212a", "İ σ流 standard 120 trail x", "standard 12 与 standard  12", "Flow", "> 引 Flow", "", None]
+    for chinese_only in (True, False):
+        monkeypatch.setattr(knowledge, "DICTIONARY_ROWS", len(names))
+        sent = knowledge.link_concepts(notes(spark, *texts), candidates, chinese_only).orderBy("doc_id").collect()
+        monkeypatch.setattr(knowledge, "DICTIONARY_ROWS", len(names) - 1)
+        joined = knowledge.link_concepts(notes(spark, *texts), candidates, chinese_only).orderBy("doc_id").collect()
+        assert joined == sent
+    texts = ["论[[M|flow matching]], Flow; [[AI|人工智能]]", "论 [[F|Flow]]\n## S\n流 [[M|FLOW matching]]", "小 gan 大 [[G|GAN]]", "[[U|工_]]_ 与 [[C|c++]] 与 [[T|2]]\u212a run"]
+    assert [r.text for r in joined[:4]] == texts and joined[-1].text is None
+
+
 def test_surfaces_come_from_headings_but_generic_ones_do_not_count(spark):
     vault = spark.createDataFrame([("v/X y.md", "# A [[b|long]] *name* (one, two)\n### Third（三号）\n#### Fourth"), ("v/None.md", None)], "path string, text string")
     found = {(r.surface, r.provenance) for r in knowledge.note_surfaces(vault).where("path = 'v/X y.md'").collect()}
