@@ -1,5 +1,7 @@
 """Every query against its SQL twin on whole tables, and those without one against known answers."""
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from lectern.plans import catalogue
@@ -36,3 +38,10 @@ def test_concept_links_once_per_section(spark, sf):
 def test_readiness_counts_errors(spark, sf):
     rows = catalogue.QUERIES["readiness"](spark, sf).collect()
     assert len(rows) == 200 and not any(r.ready for r in rows) and all(r.n_errors >= 3 for r in rows)
+
+
+@pytest.mark.parametrize("name", ["bilingual_layout"])
+def test_a_sentence_of_one_letter_is_a_unit_as_in_the_twin(spark, tmp_path, name):
+    rows = {"doc_id": [4616, 5, 6], "text": ["A.", "É.", "One. A."], "lang": ["en"] * 3, "source": ["s"] * 3, "n_chars": [2, 2, 7]}
+    pq.write_table(pa.table(rows), tmp_path / "documents.parquet")
+    same(catalogue.QUERIES[name](spark, str(tmp_path)), duck(tmp_path), catalogue.ORACLES[name])
