@@ -40,7 +40,7 @@ def test_readiness_counts_errors(spark, sf):
     assert len(rows) == 200 and not any(r.ready for r in rows) and all(r.n_errors >= 3 for r in rows)
 
 
-@pytest.mark.parametrize("name", ["bilingual_layout", "packet_summary", "passthrough_units", "prepared_validation", "translation_units", "merged_notes"])
+@pytest.mark.parametrize("name", ["bilingual_layout", "packet_summary", "passthrough_units", "prepared_validation", "translation_units", "merged_notes", "transport_metrics"])
 def test_a_sentence_of_one_letter_is_a_unit_as_in_the_twin(spark, tmp_path, name):
     rows = {"doc_id": [4616, 5, 6], "text": ["A.", "É.", "One. A."], "lang": ["en"] * 3, "source": ["s"] * 3, "n_chars": [2, 2, 7]}
     pq.write_table(pa.table(rows), tmp_path / "documents.parquet")
